@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.lookalikes import canonical_text, lookalike_members, lookalike_pairs
 from quire.llm.near_duplicates import NearDuplicates
+from quire.llm.splitting import oversized, windows
 from quire.session import table
 
 
@@ -36,5 +38,38 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return alike(spark, d).groups().select(F.col("part").alias("tbl"), F.col("key").alias("id"), "group_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Passages longer than a window, found by cutting them."""
+    return oversized(table(spark, d, "semantic_recipe_v4"), "id", "semantic_text", "semantic_notes")
+
+
+def p2_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of every line with such a passage."""
+    return windows(table(spark, d, "semantic_recipe_v4"), "id", "semantic_text", "semantic_notes")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of lines whose raw or indexed texts look the same but differ in their characters."""
+    return lookalike_pairs(table(spark, d, "semantic_recipe_v4"), "id", ["raw", "indexed_text"])
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each such line with the class of its skeleton, named by the smallest id in it."""
+    rows = lookalike_members(table(spark, d, "semantic_recipe_v4"), "id", ["raw", "indexed_text"])
+    first = rows.groupBy("field", "low", "high").agg(F.min("id").alias("class_id"), F.count_distinct("own").alias("spellings"))
+    return rows.join(first, ["field", "low", "high"]).select("field", "id", "class_id", "spellings")
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of both texts of every line."""
+    rows = table(spark, d, "semantic_recipe_v4").select("id", canonical_text("raw").alias("raw"), canonical_text("indexed_text").alias("indexed_text"))
+    return rows.groupBy("id").agg(F.max("raw").alias("raw"), F.max("indexed_text").alias("indexed_text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical}
+SQL: dict[str, str] = {
+    "p2_found": """
+        WITH p AS (SELECT id, unnest(list_concat([semantic_text], coalesce(semantic_notes, []))) AS t,
+                          generate_subscripts(list_concat([semantic_text], coalesce(semantic_notes, [])), 1) - 1 AS passage FROM semantic_recipe_v4)
+        SELECT DISTINCT id, CAST(passage AS INTEGER) AS passage FROM p WHERE length(t) > 512""",
+}
