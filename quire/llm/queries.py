@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.leakage import leaks
 from quire.llm.lookalikes import canonical_text, lookalike_members, lookalike_pairs
 from quire.llm.near_duplicates import NearDuplicates
+from quire.llm.shared_spans import shared_spans
 from quire.llm.splitting import oversized, windows
 from quire.session import table
 
@@ -66,7 +68,43 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max("raw").alias("raw"), F.max("indexed_text").alias("indexed_text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical}
+def lines_sharing(spark: SparkSession, d: str) -> DataFrame:
+    """Shared spans of the indexed texts."""
+    return shared_spans(table(spark, d, "semantic_recipe_v4"), "id", "indexed_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that share a span with another line, and whether it makes up most of them."""
+    return lines_sharing(spark, d).select("id", F.when(F.col("covered") * 2 >= F.col("chars"), "most").otherwise("some").alias("extent"))
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal shared intervals of each line, and the share of the line they make up together."""
+    rows = lines_sharing(spark, d)
+    return rows.select("id", F.explode("spans").alias("s"), (F.col("covered") / F.col("chars")).alias("share")).select("id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "share")
+
+
+def leaking(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation passages in the documents, with places and lengths."""
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the evaluation items they contain passages of."""
+    return leaking(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items that leaked: in how many documents, and the longest passage."""
+    return leaking(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the documents that remain when those with evaluation passages are removed."""
+    return table(spark, d, "documents").select("doc_id").distinct().join(leaking(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
 SQL: dict[str, str] = {
     "p2_found": """
         WITH p AS (SELECT id, unnest(list_concat([semantic_text], coalesce(semantic_notes, []))) AS t,
