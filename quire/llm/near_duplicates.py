@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import WordHashes, as_long, bare_words, list_array, mix64, offsets_of
 from quire.session import cut
 
-BANDS, ROWS = 24, 4  # a pair at similarity 0.8 misses every band with a chance of (1 - 0.8**4)**24 = 3e-6
+BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses every band with a chance of (1 - 0.8**5)**28 = 1.5e-5
 SKETCH_BITS = 256
-#: The estimate from 96 samples and 256 cells strays by about 0.05 at 0.8; candidates this far below the threshold go.
+#: The estimate from 140 samples and 256 cells strays by about 0.04 at 0.8; candidates this far below the threshold go.
 SLACK = 0.25
 MIN_WORDS = 12
 THRESHOLD = (4, 5)  # numerator and denominator of 0.8, so that the decision is exact
 
+_WORDS = [f"s{w}" for w in range(SKETCH_BITS // 64)]
 _BAG = "part string, key long, sig_a long, sig_b long, els array<long>"
 
 
@@ -99,7 +100,7 @@ def estimate(odd_cells: Column, samples: int = BANDS * ROWS, bits: int = SKETCH_
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, rep, els) -> the same with the band keys and the sketch of each text."""
+    """(part, rep, els, sig_a) -> the band keys and the sketch of each text, without its elements."""
     words = SKETCH_BITS // 64
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):  # bounds the arrays in memory, whatever the batch size
@@ -117,8 +118,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[:, j] = h
             sk = odd_sketch(s)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), lists, list_array(np.arange(len(s) + 1) * BANDS, as_long(keys.ravel())), *(pa.array(as_long(np.ascontiguousarray(sk[:, w]))) for w in range(words))],
-                ["part", "rep", "els", "bands", *(f"s{w}" for w in range(words))],
+                [b.column(0), b.column(1), b.column(3), list_array(np.arange(len(s) + 1) * BANDS, as_long(keys.ravel())), pa.array(np.diff(off).astype(np.int32)), *(pa.array(as_long(np.ascontiguousarray(sk[:, w]))) for w in range(words))],
+                ["part", "rep", "sig_a", "bands", "n", *(f"s{w}" for w in range(words))],
             )
 
 
@@ -143,55 +144,67 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, text: str, part: Column | None = None, min_words: int = MIN_WORDS):
         rows = df.select(F.coalesce(part if part is not None else F.lit(""), F.lit("")).cast("string").alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-        found = cut(rows.mapInArrow(bags(min_words), _BAG))
+        self.found = cut(rows.mapInArrow(bags(min_words), _BAG))
         ids = ["part", "sig_a", "sig_b"]
-        classes = found.groupBy(*ids).agg(F.min("key").alias("rep"), F.first("els").alias("els"))
-        self.sketched = cut(classes.select("part", "rep", "els").mapInArrow(_sketches, "part string, rep long, els array<long>, bands array<long>, " + ", ".join(f"s{w} long" for w in range(SKETCH_BITS // 64))))
-        reps = found.groupBy(*ids).agg(F.min("key").alias("rep"))
-        self.members = found.select(*ids, "key").distinct().join(reps, ids).select("part", "rep", "key")
+        classes = self.found.groupBy(*ids).agg(F.min("key").alias("rep"), F.first("els").alias("els"))
+        self.sketched = cut(classes.select("part", "rep", "els", "sig_a").mapInArrow(_sketches, "part string, rep long, sig_a long, bands array<long>, n int, " + ", ".join(f"{w} long" for w in _WORDS)))
+        reps = self.found.groupBy(*ids).agg(F.min("key").alias("rep"))
+        self.members = self.found.select(*ids, "key").distinct().join(reps, ids).select("part", "rep", "sig_a", "key")
         self.links = cut(self._links())
 
     def candidates(self) -> DataFrame:
-        """Pairs of representatives that agree in a band and whose lengths don't rule the threshold out."""
-        band = self.sketched.select(F.explode("bands").alias("band"), "part", "rep", F.size("els").alias("n"))
-        a, b = (band.select("band", F.col("part").alias(f"part_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+        """Pairs of classes that agree in a band and whose lengths don't rule the threshold out."""
+        band = self.sketched.select(F.explode("bands").alias("band"), "part", "rep", "sig_a", "n")
+        a, b = (band.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("part", "rep", "sig_a", "n"))) for x in "ab")
         num, den = THRESHOLD
         near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-        pairs = a.join(b, "band").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") == F.col("part_b")) & near)
-        return pairs.select(F.col("part_a").alias("part"), "rep_a", "rep_b").distinct()
+        first = (F.col("rep_a") < F.col("rep_b")) | ((F.col("rep_a") == F.col("rep_b")) & (F.col("sig_a_a") < F.col("sig_a_b")))
+        pairs = a.join(b, "band").where(first & (F.col("part_a") == F.col("part_b")) & near)
+        return pairs.select(F.col("part_a").alias("part"), "rep_a", "sig_a_a", "rep_b", "sig_a_b").distinct()
 
     def _links(self) -> DataFrame:
-        words = [f"s{w}" for w in range(SKETCH_BITS // 64)]
-
-        def side(x: str) -> DataFrame:
-            return self.sketched.select("part", F.col("rep").alias(f"rep_{x}"), F.col("els").alias(f"els_{x}"), *(F.col(w).alias(f"{w}_{x}") for w in words))
-
         num, den = THRESHOLD
-        pairs = self.candidates().join(side("a"), ["part", "rep_a"]).join(side("b"), ["part", "rep_b"])
-        odd = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-        pairs = pairs.where(estimate(odd) >= num / den - SLACK)
+        pairs = self.candidates()
+        for x in "ab":  # the sketches first: 32 bytes a side decide on most candidates
+            on = ["part", f"rep_{x}", f"sig_a_{x}"]
+            pairs = pairs.join(self.sketched.select("part", F.col("rep").alias(on[1]), F.col("sig_a").alias(on[2]), *(F.col(w).alias(f"{w}_{x}") for w in _WORDS)), on)
+        odd = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
+        pairs = cut(pairs.where(estimate(odd) >= num / den - SLACK).select("part", "rep_a", "sig_a_a", "rep_b", "sig_a_b"))
+        ends = pairs.select("part", F.col("rep_a").alias("key"), F.col("sig_a_a").alias("sig_a")).unionByName(pairs.select("part", F.col("rep_b").alias("key"), F.col("sig_a_b").alias("sig_a"))).distinct()
+        wanted = self.found.select("part", "key", "sig_a", "els").join(ends, ["part", "key", "sig_a"], "left_semi").dropDuplicates(["part", "key", "sig_a"])
+        for x in "ab":
+            on = ["part", f"rep_{x}", f"sig_a_{x}"]
+            pairs = pairs.join(wanted.select("part", F.col("key").alias(on[1]), F.col("sig_a").alias(on[2]), F.col("els").alias(f"els_{x}")), on)
         common, total = F.size(F.array_intersect("els_a", "els_b")), F.size("els_a") + F.size("els_b")
-        return pairs.where(common * den >= (total - common) * num).select("part", "rep_a", "rep_b")
+        return pairs.where(common * den >= (total - common) * num).select("part", "rep_a", "sig_a_a", "rep_b", "sig_a_b")
 
     def pairs(self) -> DataFrame:
         """Every pair of different keys whose texts are alike, copies expanded: (part, id_a, id_b), smaller key first."""
-        many = self.members.groupBy("part", "rep").agg(F.count("*").alias("n")).where("n > 1")
-        both = self.links.unionByName(many.select("part", F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
-        a, b = (self.members.select("part", F.col("rep").alias(f"rep_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
-        out = both.join(a, ["part", "rep_a"]).join(b, ["part", "rep_b"]).where((F.col("rep_a") != F.col("rep_b")) | (F.col("key_a") < F.col("key_b")))
+        many = self.members.groupBy("part", "rep", "sig_a").agg(F.count("*").alias("n")).where("n > 1")
+        copies = many.select("part", F.col("rep").alias("rep_a"), F.col("sig_a").alias("sig_a_a"), F.col("rep").alias("rep_b"), F.col("sig_a").alias("sig_a_b"))
+        out = self.links.unionByName(copies)
+        for x in "ab":
+            on = ["part", f"rep_{x}", f"sig_a_{x}"]
+            out = out.join(self.members.select("part", F.col("rep").alias(on[1]), F.col("sig_a").alias(on[2]), F.col("key").alias(f"key_{x}")), on)
+        same = (F.col("rep_a") == F.col("rep_b")) & (F.col("sig_a_a") == F.col("sig_a_b"))
+        out = out.where(~same | (F.col("key_a") < F.col("key_b")))
         return out.select("part", F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).where("id_a <> id_b").distinct()
 
     def linked(self) -> DataFrame:
-        """One row per record of a class: (part, key, rep, links), ``links`` being the number of other records it is alike to."""
-        n = self.members.groupBy("part", "rep").agg(F.count("*").alias("n"))
-        ends = self.links.select("part", F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(self.links.select("part", F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
-        far = ends.join(n.select("part", F.col("rep").alias("other"), "n"), ["part", "other"]).groupBy("part", "rep").agg(F.sum("n").alias("far"))
-        per = n.join(far, ["part", "rep"], "left").select("part", "rep", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
-        return self.members.join(per, ["part", "rep"]).select("part", "key", "rep", "links")
+        """One row per record of a class: (part, key, rep, links): the representative's key, and the number of records
+        (copies included) that the record is alike to."""
+        at = ["part", "rep", "sig_a"]
+        n = self.members.groupBy(*at).agg(F.count("*").alias("n"))
+        other = self.links.toDF("part", "rep", "sig_a", "rep_o", "sig_o")
+        ends = other.unionByName(other.toDF("part", "rep_o", "sig_o", "rep", "sig_a"))
+        far = ends.join(n.toDF("part", "rep_o", "sig_o", "n"), ["part", "rep_o", "sig_o"]).groupBy(*at).agg(F.sum("n").alias("far"))
+        per = n.join(far, at, "left").select(*at, (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+        return self.members.join(per, at).select("part", "key", "rep", "links")
 
     def groups(self) -> DataFrame:
         """One row per record that is alike to another: (part, key, group_id), the smallest key that links lead to."""
-        label = connected(self.links, "part", "rep_a", "rep_b")
+        edges = self.links.select("part", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        label = connected(edges, "part", "a", "b")
         many = self.members.join(label.select("part", F.col("node").alias("rep"), "root"), ["part", "rep"], "left").select("part", "key", F.coalesce("root", "rep").alias("group_id"))
         size = many.groupBy("part", "group_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select("part", "group_id")
         return many.join(size, ["part", "group_id"]).select("part", "key", "group_id").distinct()
