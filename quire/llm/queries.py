@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.llm.leakage import leaks
 from quire.llm.lookalikes import canonical_text, lookalike_members, lookalike_pairs
 from quire.llm.near_duplicates import NearDuplicates
+from quire.llm.packing import CAPACITY, packed
+from quire.llm.quality import STATS, classified
 from quire.llm.shared_spans import shared_spans
 from quire.llm.splitting import oversized, windows
 from quire.session import table
@@ -104,8 +106,40 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").distinct().join(leaking(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean}
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one, with its container."""
+    return packed(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be divided, being larger than a container."""
+    return p7_packed(spark, d).where("piece = 1").select("doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, and the share of their room that is used."""
+    per = p7_packed(spark, d).groupBy("container").agg(F.sum("tokens").alias("used"))
+    return per.agg(F.count("*").alias("containers"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * CAPACITY)).alias("fill"))
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its statistics, distance from prose and kind."""
+    return classified(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_word"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return judged(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document, its distance from prose, and the statistic that contributes most to it."""
+    return judged(spark, d).select("doc_id", "language", *STATS, "distance", "main", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {
+    "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
     "p2_found": """
         WITH p AS (SELECT id, unnest(list_concat([semantic_text], coalesce(semantic_notes, []))) AS t,
                           generate_subscripts(list_concat([semantic_text], coalesce(semantic_notes, [])), 1) - 1 AS passage FROM semantic_recipe_v4)
