@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.leakage import leaks
 from quire.llm.lookalikes import canonical_text, lookalike_members, lookalike_pairs
+from quire.llm.markup import converted
 from quire.llm.near_duplicates import NearDuplicates
 from quire.llm.packing import CAPACITY, packed
 from quire.llm.quality import STATS, classified
@@ -137,7 +138,22 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).select("doc_id", "language", *STATS, "distance", "main", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
+def p5_converted(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text, kinds of markup and labelled blocks of every raw text."""
+    return converted(table(spark, d, "semantic_recipe_v4"), "id", "raw", table(spark, d, "common_word"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose raw text has markup, one row for each kind that the conversion met."""
+    return p5_converted(spark, d).where(F.size("kinds") > 0).select("id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every raw text, each line once."""
+    return p5_converted(spark, d).groupBy("id").agg(F.max("text").alias("text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_clean": p5_clean, "p5_converted": p5_converted, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {
     "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
     "p2_found": """
