@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import list_array
 from quire.session import cut
 
 STATS = ["log_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "distinct_words", "single_letters", "digit_ratio", "list_lines", "table_lines", "unreadable_lines"]
@@ -159,48 +160,71 @@ class Prose:
     def __init__(self, stats: DataFrame, rounds: int = 2):
         known = stats.where(F.col("language") != UNKNOWN)
         stats = known.unionByName(known.withColumn("language", F.lit(UNKNOWN)))  # texts of no language are held against all prose
-        at = F.percentile_approx
-        mid = {r.language: np.array(r[1:], dtype=float) for r in stats.groupBy("language").agg(*(at(s, 0.5, 2000).alias(s) for s in STATS)).collect()}
-        dev = self._with(stats, mid, lambda m, i: F.abs(F.col(STATS[i]) - m[i])).groupBy("language").agg(*(at(f"v{i}", 0.5, 2000) for i in range(len(STATS)))).collect()
+        mid = self._medians(stats)
+        off = stats.select("doc_id", "language", *STATS).mapInArrow(_with_model(mid, lambda x, m: np.abs(x - m)), "language string, " + ", ".join(f"{s} double" for s in STATS))
+        dev = self._medians(off)
         floor = np.array(FLOOR)
-        self.models = {r.language: (mid[r.language], np.diag(1 / np.maximum(1.4826 * np.array(r[1:], dtype=float), floor) ** 2)) for r in dev}
+        self.models = {lang: (m, np.diag(1 / np.maximum(1.4826 * dev[lang], floor) ** 2)) for lang, m in mid.items()}
         k = len(STATS)
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
         for _ in range(rounds):  # the documents near the centre give the next centre
             near = self.distances(stats).where(F.col("distance") <= FAR)
-            sums = near.groupBy("language").agg(F.count("*"), *(F.avg(s) for s in STATS), *(F.covar_pop(STATS[i], STATS[j]) for i, j in pairs)).collect()
-            for r in sums:
-                cov = np.zeros((k, k))
-                for (i, j), v in zip(pairs, r[2 + k :], strict=True):
-                    cov[i, j] = cov[j, i] = v or 0.0
-                self.models[r[0]] = (np.array(r[2 : 2 + k], dtype=float), np.linalg.inv(cov + np.diag(floor**2)))
+            products = (F.avg(F.col(STATS[i]) * F.col(STATS[j])) for i, j in pairs)
+            for r in near.groupBy("language").agg(*(F.avg(s) for s in STATS), *products).collect():
+                mean, cov = np.array(r[1 : 1 + k], dtype=float), np.zeros((k, k))
+                for (i, j), v in zip(pairs, r[1 + k :], strict=True):
+                    cov[i, j] = cov[j, i] = v - mean[i] * mean[j]
+                self.models[r[0]] = (mean, np.linalg.inv(cov + np.diag(floor**2)))
 
     @staticmethod
-    def _with(stats: DataFrame, per: dict[str, np.ndarray], make) -> DataFrame:
-        """``stats`` with columns v0, v1, ...: an expression over the language's vector."""
-        out = []
-        for i in range(len(STATS)):
-            c = F.lit(None).cast("double")
-            for lang, m in per.items():
-                c = F.when(F.col("language") == lang, make(m, i)).otherwise(c)
-            out.append(c.alias(f"v{i}"))
-        return stats.select("*", *out)
+    def _medians(stats: DataFrame) -> dict[str, np.ndarray]:
+        rows = stats.groupBy("language").agg(*(F.percentile_approx(s, 0.5, 1000) for s in STATS)).collect()
+        return {r[0]: np.array(r[1:], dtype=float) for r in rows}
 
     def distances(self, stats: DataFrame) -> DataFrame:
-        """``stats`` with ``distance``, the squared Mahalanobis distance, and ``parts``, its share from each statistic.
+        """``stats`` with ``parts``, the contribution of each statistic, and ``distance``, the squared Mahalanobis distance.
 
         With S the inverse covariance and x the deviation, statistic i contributes x_i * (S x)_i; the parts add up to the
-        distance. A part can be slightly negative where correlated statistics explain each other.
+        distance. A part can be slightly negative where correlated statistics explain each other. Documents of a language
+        without a model (only if no document has any known word) have no distance.
         """
-        x = self._with(stats, {lang: m for lang, (m, _) in self.models.items()}, lambda m, i: F.col(STATS[i]) - float(m[i]))
-        rows = []
-        for i in range(len(STATS)):
-            c = F.lit(0.0)
-            for lang, (_, s) in self.models.items():
-                c = F.when(F.col("language") == lang, sum((F.col(f"v{j}") * float(s[i, j]) for j in range(len(STATS))), F.lit(0.0))).otherwise(c)
-            rows.append(F.col(f"v{i}") * c)
-        out = x.select(*stats.columns, F.array(*rows).alias("parts"))
-        return out.withColumn("distance", F.aggregate("parts", F.lit(0.0), lambda a, b: a + b))
+        schema = "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATS) + ", parts array<double>, distance double"
+        return stats.select("doc_id", "language", *STATS).mapInArrow(_distances(self.models), schema)
+
+
+def _with_model(models: dict[str, np.ndarray], make):
+    """mapInArrow: (doc_id, language, *STATS) -> (language, *STATS), the values made from each row and its language's vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = b.column(1).to_pylist()
+            if langs:
+                x = make(_values(b), np.array([models[lang] for lang in langs]))
+                yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, i]) for i in range(len(STATS)))], ["language", *STATS])
+
+    return run
+
+
+def _values(b: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))])
+
+
+def _distances(models: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, langs = _values(b), np.array(b.column(1).to_pylist(), dtype=object)
+            parts = np.full(x.shape, np.nan)
+            for lang in set(langs):
+                if lang in models:
+                    at = langs == lang
+                    d = x[at] - models[lang][0]
+                    parts[at] = d * (d @ models[lang][1])
+            total, known = parts.sum(axis=1), ~np.isnan(parts[:, 0]) if len(parts) else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, list_array(np.arange(len(x) + 1) * len(STATS), parts.ravel()), pa.array(total, mask=~known)], [*b.schema.names, "parts", "distance"]
+            )
+
+    return run
 
 
 def outliers(stats: DataFrame, prose: Prose | None = None, far: float = FAR) -> DataFrame:
