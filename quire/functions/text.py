@@ -106,15 +106,24 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def placed_tokens(plain: Column) -> Column:
+    """The tokens of a plain text as array<struct<t, p>>, read in one pass. A pair ``(X) [Y]`` is two readings at one position."""
+    units = _all(foldable(plain), rf"{TOKEN}|{_PAIR}")
+
+    def one(t: Column, i: Column) -> Column:
+        return F.struct(F.replace(t, F.lit("''"), F.lit('"')).alias("t"), i.alias("p"))
+
+    return F.flatten(F.transform(units, lambda u, i: F.when(u.startswith("("), F.transform(_all(u, TOKEN), lambda t: one(t, i))).otherwise(F.array(one(u, i)))))
+
+
 def tokens_and_positions(plain: Column) -> tuple[Column, Column]:
-    """Token and position arrays of a plain text. A pair ``(X) [Y]`` is two readings at one position.
-
-    Every call of the returned columns reads the text again; select them once.
-    """
-    units = _all(foldable(plain), rf"{_PAIR}|{TOKEN}")
-    parts = F.transform(units, lambda u: F.when(u.startswith("("), _all(u, TOKEN)).otherwise(F.array(u)))
-    places = F.transform(units, lambda u, i: F.when(u.startswith("("), F.array(i, i)).otherwise(F.array(i)))
-    return F.transform(F.flatten(parts), lambda t: F.replace(t, F.lit("''"), F.lit('"'))), F.flatten(places)
+    """Token and position arrays of a plain text (each reads the text by itself; see placed_tokens for both at once)."""
+    return F.transform(placed_tokens(plain), lambda x: x["t"]), F.transform(placed_tokens(plain), lambda x: x["p"])
+
+
+def token_count(plain: Column) -> Column:
+    """How many tokens a plain text has."""
+    return F.regexp_count(foldable(plain), F.lit(TOKEN))
 
 
 def bare(term: Column) -> Column:

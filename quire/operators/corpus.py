@@ -80,23 +80,23 @@ def facets_of(topics: Column, extra: Column) -> Column:
 
 def with_tokens(lines: DataFrame, plain: str = "plain") -> DataFrame:
     """Adds tokens and pos of a text; tokens over the length limit are left out, their positions stay taken."""
-    tokens, pos = T.tokens_and_positions(F.col(plain))
-    out = lines.withColumn("_t", tokens).withColumn("_p", pos)
-    fits = F.zip_with("_t", "_p", lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-    kept = F.when(F.exists("_t", lambda t: F.octet_length(t) > T.MAX_TOKEN_BYTES), F.filter(fits, lambda x: F.octet_length(x["t"]) <= T.MAX_TOKEN_BYTES)).otherwise(fits)
-    return out.withColumn("_k", kept).withColumn("tokens", F.col("_k.t")).withColumn("pos", F.col("_k.p")).drop("_t", "_p", "_k")
+    kept = F.filter(T.placed_tokens(F.col(plain)), lambda x: F.octet_length(x["t"]) <= T.MAX_TOKEN_BYTES)
+    return lines.withColumn("_k", kept).withColumn("tokens", F.col("_k.t")).withColumn("pos", F.col("_k.p")).drop("_k")
 
 
 def with_edges(lines: DataFrame, plain: str = "plain") -> DataFrame:
     """Adds ``first`` and ``last``, the positions of the first and last word of a line's content, enumerators at its
     ends not counted; null for lines without content."""
-    inner = T.content(F.col(plain))
-    whole, cut = F.size("tokens"), F.size(T.tokens_and_positions(inner)[0])
-    before = F.size(T.tokens_and_positions(F.substring(F.col(plain), F.lit(1), F.greatest(F.instr(F.col(plain), inner) - 1, F.lit(0))))[0])
-    ok = (whole > 0) & (cut > 0)
-    first = F.when(ok, F.element_at("pos", F.least(before + 1, whole)))
-    last = F.when(ok, F.element_at("pos", F.least(before + cut, whole)))
-    return lines.withColumn("first", first).withColumn("last", last)
+    enumerated = F.col(plain).rlike(r"^\s*[(\[{]|[)\]}][\s.:,;]*$")  # most lines have none: their edges are their first and last token
+    out = lines.withColumn("_inner", F.when(enumerated, T.content(F.col(plain))))
+    lead = F.substring(F.col(plain), F.lit(1), F.greatest(F.instr(F.col(plain), F.col("_inner")) - 1, F.lit(0)))
+    before = F.when(F.col("_inner").isNull(), 0).otherwise(T.token_count(lead))
+    cut = F.when(F.col("_inner").isNull(), F.size("tokens")).otherwise(T.token_count(F.col("_inner")))
+    out = out.withColumn("_before", before).withColumn("_cut", cut)
+    ok = (F.size("tokens") > 0) & (F.col("_cut") > 0)
+    first = F.when(ok, F.element_at("pos", F.least(F.col("_before") + 1, F.size("pos"))))
+    last = F.when(ok, F.element_at("pos", F.least(F.col("_before") + F.col("_cut"), F.size("pos"))))
+    return out.withColumn("first", first).withColumn("last", last).drop("_inner", "_before", "_cut")
 
 
 @dataclass
