@@ -39,7 +39,21 @@ def matches(b: Branch) -> Column:
         return hit | (F.col("bare") == b.pattern) if b.quoteless else hit
     whole = f"^(?:{b.pattern})$"
     hit = F.col("term").rlike(whole)
-    return hit | F.col("bare").rlike(whole) if b.quoteless else hit
+    return hit | ((F.col("bare") != F.col("term")) & F.col("bare").rlike(whole)) if b.quoteless else hit
+
+
+def _any(branches: list[Branch]) -> Column:
+    """Whether a row matches some branch: one set lookup and one joined pattern, before the branches are told apart."""
+    words = [b.pattern for b in branches if is_literal(b.pattern)]
+    patterns = [b.pattern for b in branches if not is_literal(b.pattern)]
+    sides = [F.col("term"), F.col("bare")] if any(b.quoteless for b in branches) else [F.col("term")]
+    hit = F.lit(False)
+    for c in sides:
+        if words:
+            hit = hit | c.isin(words)
+        if patterns:
+            hit = hit | c.rlike(f"^(?:{'|'.join(patterns)})$")
+    return hit
 
 
 def ranked(terms: DataFrame, plan: WordPlan) -> DataFrame:
@@ -52,7 +66,7 @@ def ranked(terms: DataFrame, plan: WordPlan) -> DataFrame:
         return terms.limit(0).withColumn("branch", F.lit(0)).withColumn("tier", F.lit(0))
     rank = F.coalesce(*(F.when(matches(b), F.lit(i)) for i, b in enumerate(plan.branches)))
     tier = F.element_at(F.array(*(F.lit(b.tier) for b in plan.branches)), F.col("branch") + 1)
-    return terms.withColumn("branch", rank).where("branch IS NOT NULL").withColumn("tier", tier)
+    return terms.where(_any(plan.branches)).withColumn("branch", rank).where("branch IS NOT NULL").withColumn("tier", tier)
 
 
 def expand(terms: DataFrame, plans: list[WordPlan], cap: int = MAX_TERMS_PHRASE) -> list[Expansion]:
