@@ -99,13 +99,18 @@ def lookalike_pairs(df: DataFrame, key: str, fields: Sequence[str], min_chars: i
 
     Null texts, null keys and texts under ``min_chars`` code points make no pair; equal texts make none with each other.
     Repeated rows count once, other columns are not looked at, an empty table gives no pair. Skeletons are compared by
-    128-bit hashes. Only skeletons shared by different texts are joined, so copies of one text cost nothing.
+    128-bit hashes. Texts are joined as classes of equal texts, and only skeletons of several classes; their members are
+    expanded last, so copies of one text never meet each other.
     """
     from quire.session import cut
 
     rows = cut(lookalike_members(df, key, fields, min_chars))
-    a, b = (rows.select("field", "low", "high", F.col("own").alias(f"own_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    return a.join(b, ["field", "low", "high"]).where("id_a < id_b AND own_a <> own_b").select("field", "id_a", "id_b").distinct()
+    classes = rows.select("field", "low", "high", "own").distinct()
+    a, b = (classes.select("field", "low", "high", F.col("own").alias(f"own_{x}")) for x in "ab")
+    out = a.join(b, ["field", "low", "high"]).where("own_a < own_b")
+    for x in "ab":
+        out = out.join(rows.select("field", "low", "high", F.col("own").alias(f"own_{x}"), F.col("id").alias(f"k_{x}")), ["field", "low", "high", f"own_{x}"])
+    return out.where("k_a <> k_b").select("field", F.least("k_a", "k_b").alias("id_a"), F.greatest("k_a", "k_b").alias("id_b")).distinct()
 
 
 @F.pandas_udf(StringType())
