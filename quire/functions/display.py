@@ -216,33 +216,60 @@ def find_matches(text: str, h: HighlightPattern) -> list[list[tuple[int, int]]]:
 # -- notes ------------------------------------------------------------------------------------------------------------------
 
 NOTE, MARKER = "note", "marker"
-_NOTE = re.compile(r"<sup\b[^<>]*footnote-marker[^<>]*>(?P<marker>.*?)</sup\s*>|<(?P<tag>i|span|div|note)\b[^<>]*\bfootnote\b(?!-)[^<>]*>(?P<note>.*?)</(?P=tag)\s*>", re.S | re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&(?:#?\w+);")
+_MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)/?>|&#?\w+;")
 NOTE_SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
 
 
 def note_parts(raw: str) -> tuple[str, list[str], list[tuple[int, int, str]]]:
-    """The main text of a line without its notes, the texts of the notes, and where notes and markers stand in the text
-    that has both (all without tags)."""
-    clean = lambda s: _TAG.sub("", s)
-    main, notes, spans, full, at = [], [], [], [], 0
-    for m in _NOTE.finditer(raw):
-        before = clean(raw[at : m.start()])
-        main.append(before)
-        full.append(before)
-        start = sum(map(len, full))
-        if m["note"] is not None:
-            body = clean(m["note"])
-            notes.append(body.strip())
-            spans.append((start, start + len(body), NOTE))
-            full.append(body)
-        else:
-            body = clean(m["marker"])
-            spans.append((start, start + len(body), MARKER))
-            full.append(body)
+    """The main text of a line without its notes and markers, the texts of the notes, and where notes and markers stand in
+    the text that has all of them (without tags). A note inside a note is a passage of its own, after the outer one; a note
+    that is never closed ends with the line."""
+    main: list[str] = []
+    notes: list[list[str]] = []
+    spans: list[list] = []
+    open_: list[tuple[str, list[str] | None, int | None]] = []  # tag, where its text goes, its span
+    at = length = 0
+
+    def text(s: str) -> None:
+        nonlocal length
+        if s:
+            into = next((x for _, x, k in reversed(open_) if k is not None), main)
+            if into is not None:
+                into.append(s)
+            length += len(s)
+
+    for m in _MARKUP.finditer(raw):
+        text(raw[at : m.start()])
         at = m.end()
-    main.append(clean(raw[at:]))
-    return " ".join("".join(main).split()), [n for n in notes if n], spans
+        if m[2] is None:
+            if m[0].lower() in ("&nbsp;", "&thinsp;", "&ensp;", "&emsp;"):
+                text(" ")
+            continue
+        tag = m[2].lower()
+        if not m[1]:
+            if tag in ("br", "hr", "img", "wbr") or m[0].endswith("/>"):
+                continue
+            kind = MARKER if "footnote-marker" in m[3] else NOTE if "footnote" in m[3] else None
+            into = None
+            if kind:
+                spans.append([length, length, kind])
+                if kind == NOTE:
+                    into = []
+                    notes.append(into)
+            open_.append((tag, into, len(spans) - 1 if kind else None))
+        else:
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == tag:
+                    for _, _, k in open_[i:]:
+                        if k is not None:
+                            spans[k][1] = length
+                    del open_[i:]
+                    break
+    text(raw[at:])
+    for _, _, k in open_:
+        if k is not None:
+            spans[k][1] = length
+    return " ".join("".join(main).split()), [n for n in (" ".join("".join(x).split()) for x in notes) if n], [tuple(s) for s in spans]
 
 
 @F.pandas_udf(ArrayType(NOTE_SPAN))

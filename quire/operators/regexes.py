@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -178,8 +179,6 @@ _RANGE = StructType([StructField("start", IntegerType()), StructField("end", Int
 
 def range_udf(raw: str):
     """A pandas UDF: the places a pattern matches in a text, in UTF-16 units; a sequence gives one range a word."""
-    import pandas as pd
-
     r = parse(raw)
     if r.kind == INVALID:
         raise ValueError(f"invalid pattern: {r.reason}")

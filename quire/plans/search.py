@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.display import Paint, snippets
+from quire.functions.display import Paint, semantic_parts, snippets
 from quire.functions.hashes import content_hash, fnv1a, line_hash, metadata_hash
 from quire.functions.words import EXACT, Branch, WordOptions, WordPlan, plan_word, spelling_variants
 from quire.operators import regexes
@@ -146,6 +146,12 @@ add(
     "WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS ordinal FROM documents), g AS (SELECT doc_id, ordinal, length(regexp_replace(c, '\\s', '', 'g')) AS n, length(regexp_replace(c, '[^\\p{L}]', '', 'g')) AS k FROM x) SELECT doc_id, ordinal FROM g WHERE k = 0 OR (n >= 50 AND k / n < 0.1) OR (n >= 20 AND k / n < 0.2 AND n - k > k)",
 )
 
+add(
+    "semantic_notes",
+    lambda s, d: table(s, d, "semantic_recipe_v4").where("raw IS NOT NULL AND semantic_notes IS NOT NULL").groupBy("id").agg(F.max("raw").alias("raw")).select("id", semantic_parts("raw").alias("x")).select("id", F.size("x.notes").alias("notes")),
+    "SELECT id, max(len(semantic_notes))::INTEGER AS notes FROM semantic_recipe_v4 WHERE raw IS NOT NULL AND semantic_notes IS NOT NULL GROUP BY id",
+)
+
 # boolean and positional matching
 
 add("exact_term", ids(Query(words(A))), sql(w("a", A), select="SELECT DISTINCT id FROM a"))

@@ -9,9 +9,8 @@ from quire.operators.search import ANY, AT_LEAST, GENERATION, IDENTICAL_TEXT, MO
 @pytest.fixture(scope="module")
 def device(spark, tmp_path_factory):
     e = SearchEngine(spark, str(tmp_path_factory.mktemp("device")))
-    e.add_text_book("Device A", "/devices", "id:101", "<h1>חומרה</h1>\nמחשב מהיר\nמסך כחול\nמחשב קטן")
-    e.add_text_book("Device B", "/devices", "id:202", "מחשב מהיר\nמַחְשֵׁב נוח\nמסך ירוק")
-    e.add_text_book("Accessory", "/accessories", "id:303", "מקלדת שחורה\nמחשב קטן")
+    given = [("id:101", "Device A", "/devices", "<h1>חומרה</h1>\nמחשב מהיר\nמסך כחול\nמחשב קטן", [], 0), ("id:202", "Device B", "/devices", "מחשב מהיר\nמַחְשֵׁב נוח\nמסך ירוק", [], 0), ("id:303", "Accessory", "/accessories", "מקלדת שחורה\nמחשב קטן", [], 0)]
+    e.add_text_books(spark.createDataFrame(given, BOOK))
     e.commit()
     e.set_book_order(spark.createDataFrame([("id:202", 0, 2), ("id:303", 1, 0), ("id:101", 2, 1)], "file_path string, catalogue_order int, generation_order int"))
     return e
