@@ -135,7 +135,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document, its distance from prose, and the statistic that contributes most to it."""
-    return judged(spark, d).select("doc_id", "language", *STATS, "distance", "main", "kind")
+    return judged(spark, d).select("doc_id", "language", *STATS, "distance", "parts", "main", "kind")
 
 
 def p5_converted(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,32 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_linked": p1_linked, "p1_groups": p1_groups, "p2_found": p2_found, "p2_windows": p2_windows, "p4_found": p4_found, "p4_classes": p4_classes, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_clean": p5_clean, "p5_converted": p5_converted, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean, "p7_found": p7_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p9_found": p9_found, "p9_statistics": p9_statistics}
+_SPACES = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORDS = r"regexp_extract_all(regexp_replace({}, '[^\p{{L}}\p{{N}}" + _SPACES.replace("{", "{{").replace("}", "}}") + r"]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+
 SQL: dict[str, str] = {
+    "p1_found": rf"""
+        WITH r AS (SELECT DISTINCT 'semantic_recipe_v4' AS tbl, id, semantic_text AS t FROM semantic_recipe_v4
+                   UNION ALL SELECT DISTINCT 'expected_results', result_id, regexp_replace(regexp_replace(text, '(?i)</?font\b[^>]*>', '', 'g'), '(?i)<br\s*/?>', ' ', 'g') FROM expected_results),
+        w AS (SELECT tbl, id, unnest({_WORDS.format('t')}) AS w FROM r),
+        c AS (SELECT tbl, id, w, count(*) AS n FROM w GROUP BY ALL),
+        s AS (SELECT tbl, id, sum(n) AS s FROM c GROUP BY ALL HAVING sum(n) >= 12),
+        e AS (SELECT tbl, id, w, unnest(range(n)) AS k FROM c JOIN s USING (tbl, id)),
+        j AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS c FROM e a JOIN e b ON a.tbl = b.tbl AND a.w = b.w AND a.k = b.k AND a.id < b.id GROUP BY ALL)
+        SELECT j.tbl, id_a, id_b FROM j JOIN s x ON x.tbl = j.tbl AND x.id = id_a JOIN s y ON y.tbl = j.tbl AND y.id = id_b WHERE 9 * c >= 4 * (x.s + y.s)""",
+    "p6_found": """
+        WITH l AS (SELECT DISTINCT id, indexed_text AS t FROM semantic_recipe_v4 WHERE length(indexed_text) >= 60),
+        w AS (SELECT id, length(t) AS n, t, unnest(range(1, length(t) - 58)) AS p FROM l),
+        s AS (SELECT id, n, p, substr(t, p, 60) AS s FROM w),
+        h AS (SELECT id, n, p FROM s WHERE s IN (SELECT s FROM s GROUP BY s HAVING min(id) <> max(id))),
+        q AS (SELECT id, n, p, lag(p) OVER (PARTITION BY id ORDER BY p) AS b FROM h)
+        SELECT id, CASE WHEN 2 * sum(CASE WHEN b IS NULL THEN 60 ELSE least(60, p - b) END) >= n THEN 'most' ELSE 'some' END AS extent FROM q GROUP BY id, n""",
+    "p8_found": rf"""
+        WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format('lower(nfc_normalize(text))')} AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, {_WORDS.format('lower(nfc_normalize(text))')} AS w FROM eval_item),
+        x AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d),
+        y AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)
+        SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM x) JOIN (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM y) USING (g)""",
     "p7_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
     "p2_found": """
         WITH p AS (SELECT id, unnest(list_concat([semantic_text], coalesce(semantic_notes, []))) AS t,
