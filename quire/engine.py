@@ -508,6 +508,33 @@ class SearchEngine:
         shown = fused.orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
         return shown.join(self.corpus().lines.select("id", "file_path", "plain"), "id").orderBy(F.col("score").desc(), "id"), reason
 
+    def semantic_covered_books(self, keys: DataFrame) -> DataFrame:
+        """Books with at least one line whose key has a vector."""
+        return self.semantic_coverage(keys).where("covered > 0").select("file_path")
+
+    def semantic_index_books(self, vectors_: DataFrame) -> None:
+        """Add the vectors of some books to the installed set."""
+        self.install_semantic_vectors(vectors_, delta=bool(self._vectors))
+
+    def open_semantic_artifact(self, path: str) -> None:
+        """Install a stored vector set (key, embedding)."""
+        self.install_semantic_vectors(self.spark.read.parquet(path))
+
+    configure_semantic = install_semantic_vectors
+
+    def semantic_passage_highlights(self, text: str, clause_vectors: Sequence[Sequence[float]], query_vector: Sequence[float]) -> str:
+        """A passage with the clause marked whose vector is nearest to the query; the vectors are those of display.clauses()."""
+        parts = display.clauses(text)
+        if not parts or len(parts) != len(clause_vectors):
+            return text
+        norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+        best = max(range(len(parts)), key=lambda i: (sum(a * b for a, b in zip(clause_vectors[i], query_vector, strict=True)) / norm(clause_vectors[i]), -i))
+        return " ".join(f"<mark>{c}</mark>" if i == best else c for i, c in enumerate(parts))
+
+    def lexical_cancellation_handle(self, request: str):
+        """A context in which searches can be cancelled by cancel_lexical_search(request) from another thread."""
+        return results.cancellable(self.spark, request)
+
     # -- display -------------------------------------------------------------------------------------------------------------------------
 
     def generate_index_highlight_pattern(self, family: str, query, **args) -> list[list[str]]:
@@ -522,6 +549,56 @@ class SearchEngine:
         return out
 
 
+def _named(family: str, suffix: str) -> None:
+    """The counts, facet counts, pages and streams of one family under their own names."""
+
+    def count(self, query, facets=(), **args):
+        return self.count(family, query, facets, **args)
+
+    def with_status(self, query, facets=(), **args):
+        return self.count_with_status(family, query, facets, **args)
+
+    def by_book(self, query, facets=(), **args):
+        return self.count_by_book(family, query, facets, **args)
+
+    def by_book_with_status(self, query, facets=(), **args):
+        h = self._run(family, query, facets, **args)
+        return count_by_book(h.rows), h.truncated
+
+    def facet(self, query, facet_prefix="/", facets=(), **args):
+        return self.get_facet_counts(family, query, facet_prefix, facets, **args)
+
+    def facet_with_status(self, query, facet_prefix="/", facets=(), **args):
+        h = self._run(family, query, facets, **args)
+        return facet_counts(h.rows, facet_prefix), h.truncated
+
+    def both(self, query, **args):
+        return self.search(family, query, **args)
+
+    def streamed(self, query, chunk_size=50, **args):
+        return self.stream(family, query, chunk_size, **args)
+
+    def streamed_with_counts(self, query, chunk_size=50, **args):
+        return self.stream_with_counts(family, query, chunk_size, **args)
+
+    def pattern(self, query, **args):
+        return self.generate_index_highlight_pattern(family, query, **args)
+
+    names = {
+        f"count_{suffix}": count, f"count_{suffix}_with_status": with_status, f"count_by_book_{suffix}": by_book, f"count_by_book_{suffix}_with_status": by_book_with_status,
+        f"get_facet_counts_{suffix}": facet, f"get_facet_counts_{suffix}_with_status": facet_with_status, f"search_and_count_{suffix}": both,
+        f"search_{suffix}_stream": streamed, f"search_{suffix}_stream_with_counts": streamed_with_counts, f"generate_index_{suffix}_highlight_pattern": pattern,
+    }
+    for name, f in names.items():
+        if not hasattr(SearchEngine, name):
+            f.__name__ = name
+            setattr(SearchEngine, name, f)
+
+
+for _family, _suffix in (("exact", "exact"), ("fuzzy", "fuzzy"), ("advanced", "advanced"), ("user_regex", "user_regex"), ("regex", "regex"), ("smart", "smart")):
+    _named(_family, _suffix)
+
+
 def _final_class(c: str) -> str:
     from quire.functions.words import FINALS
 

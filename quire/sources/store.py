@@ -24,7 +24,8 @@ class Store:
         self.spark = spark
         schema = StructType.fromDDL(STORED)
         self.table = VersionedTable(spark, path, schema, "id")
-        self._staged: DataFrame | None = None
+        self._high = 0
+        self.rollback()
 
     # -- reading ----------------------------------------------------------------------------------------------------
 
@@ -34,7 +35,10 @@ class Store:
 
     def pending(self) -> DataFrame:
         """The lines as the next commit will have them."""
-        return self._staged if self._staged is not None else self.lines()
+        now = self.lines().limit(0) if self._cleared else self.lines()
+        if self._removed is not None:
+            now = now.join(self._removed.distinct(), "id", "left_anti").select(*now.columns)
+        return now if self._added is None else now.unionByName(self._added)
 
     def snapshot(self) -> tuple[int, int]:
         """What identifies the visible state: version and revision of the order mapping."""
@@ -43,7 +47,7 @@ class Store:
 
     def _numbers(self) -> tuple[DataFrame | None, int]:
         high = int(self.table.manifest().meta.get("book_high_water", 0))
-        return order_book_numbers(self.pending()), max(high, getattr(self, "_high", 0))
+        return order_book_numbers(self.pending()), max(high, self._high)
 
     # -- staging ----------------------------------------------------------------------------------------------------
 
@@ -55,41 +59,55 @@ class Store:
         if self._high >= 1 << 31:
             raise ValueError("book numbers are exhausted")
         rows = cut(with_ids(lines, numbers))
-        self._staged = self.pending().unionByName(rows)
+        self._stage(rows)
         return rows.count()
 
+    def _stage(self, rows: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        if removed is not None:
+            self._removed = removed if self._removed is None else self._removed.unionByName(removed)
+        if rows is not None:
+            self._added = rows if self._added is None else self._added.unionByName(rows)
+
     def upsert(self, lines: DataFrame) -> int:
         """Stage lines in place of those with the same id. Of repeated ids in one call any one counts."""
         known, high = self._numbers()
         numbers = cut(number_books(lines, known, high))
         self._high = max(high, numbers.agg(F.max("book_no")).first()[0] or 0)
         rows = cut(with_ids(lines, numbers).dropDuplicates(["id"]))
-        self._staged = self.pending().join(rows.select("id"), "id", "left_anti").unionByName(rows)
+        if self._added is not None:
+            self._added = self._added.join(rows.select("id"), "id", "left_anti").select(*rows.columns)
+        self._stage(rows, rows.select("id"))
         return rows.count()
 
     def delete(self, ids: list[int] | None = None, file_paths: list[str] | None = None, titles: list[str] | None = None) -> None:
         """Stage the removal of lines by id, by book or by title."""
         gone = [F.col(c).isin(list(v)) for c, v in (("id", ids), ("file_path", file_paths), ("title", titles)) if v]
         if gone:
-            self._staged = self.pending().where(~F.coalesce(reduce(lambda a, b: a | b, gone), F.lit(False)))
+            hit = F.coalesce(reduce(lambda a, b: a | b, gone), F.lit(False))
+            if self._added is not None:
+                self._added = self._added.where(~hit)
+            self._stage(removed=self.lines().where(hit).select("id"))
 
     def clear(self) -> None:
-        self._staged = self.pending().limit(0)
+        """Stage the removal of everything, what is staged included."""
+        self.rollback()
+        self._cleared = True
 
     def rollback(self) -> None:
-        self._staged = None
+        """Forget what is staged."""
+        self._added: DataFrame | None = None
+        self._removed: DataFrame | None = None
+        self._cleared = False
 
     def commit(self) -> int:
-        """Publish what is staged as deletions (a vector over the files that stay) and additions. Returns the version."""
-        if self._staged is None:
+        """Publish what is staged: new files, and a deletion vector over the files that stay. Only changed rows are
+        written; nothing that stays is read. Returns the version."""
+        if self._added is None and self._removed is None and not self._cleared:
             return self.table.latest()
-        now, new = self.lines(), cut(self._staged)
-        digest = F.xxhash64(*new.columns)
-        before, after = now.withColumn("_d", digest), new.withColumn("_d", digest)
-        removed = before.join(after.select("id", "_d"), ["id", "_d"], "left_anti").select("id")
-        added = after.join(before.select("id", "_d"), ["id", "_d"], "left_anti").drop("_d")
-        version = self.table.commit(cut(added), cut(removed), meta={"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "book_high_water": max(getattr(self, "_high", 0), int(self.table.manifest().meta.get("book_high_water", 0)))})
-        self._staged = None
+        now = self.table.manifest()
+        meta = {"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "book_high_water": max(self._high, int(now.meta.get("book_high_water", 0)))}
+        version = self.table.commit(self._added, self._removed, list(now.files) if self._cleared else (), meta, now.version)
+        self.rollback()
         return version
 
     def set_meta(self, **meta: object) -> int:

@@ -45,6 +45,18 @@ def test_golden_contract(device):
     assert e.book_order_revision() == 1 and e.check_index_compatibility() == "compatible"
 
 
+def test_families_by_name(device):
+    e = device
+    assert e.count_exact("מחשב") == 5 and e.count_by_book_exact("מחשב").count() == 3 and e.get_facet_counts_exact("מחשב").count() == 2
+    assert e.count_fuzzy_with_status("מחשב", max_distance=0).count == 5 and e.search_and_count_advanced("מחשב", limit=1).total == 5
+    assert sum(len(c) for c in e.search_exact_stream("מחשב", 2)) == 5 and not e.get_facet_counts_advanced_with_status("מחשב")[1]
+    assert e.semantic_passage_highlights("one two three four, five six seven eight.", [[1.0, 0.0], [0.0, 1.0]], [0.0, 2.0]).endswith("<mark>five six seven eight.</mark>")
+    assert e.generate_index_fuzzy_highlight_pattern("מחשב", max_distance=0) == [["מחשב"]]
+    with e.lexical_cancellation_handle("r1"):
+        assert e.count_exact("מחשב") == 5
+    e.cancel_lexical_search("unknown")
+
+
 def test_streams(device):
     assert [len(x) for x in device.stream("exact", "מחשב", 2)] == [2, 2, 1]
     first, *rest = device.stream_with_counts("exact", "מחשב", 3)
