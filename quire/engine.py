@@ -244,7 +244,8 @@ class SearchEngine:
         return [q]
 
     def _with_forms(self, plans: list[WordPlan]) -> list[WordPlan]:
-        """Words with the forms of the morphology between the typed form and the edit distance."""
+        """Words with the forms of the morphology between the typed form and the edit distance. Of the terms within the
+        distance the hundred nearest are kept beside the forms."""
         forms: dict[str, list[str]] = {}
         for r in self._morphology.forms([p.word for p in plans]).collect():
             forms.setdefault(r.word, []).append(r.form)
