@@ -1,10 +1,11 @@
 """Per-document text statistics, and how far they lie from running prose of the document's language.
 
 Every document gets a vector of statistics. Per language (told by its frequent words, not by the delivered code), the
-centre and covariance of prose are estimated robustly from all documents: medians and median deviations first, then means
-and covariances over the documents that lie near, twice. The Mahalanobis distance to that centre says how unusual a
-document is, and splits into one contribution a statistic. Documents far out are told apart by the share of their lines
-that are entries of a list, rows of a table or no readable language.
+centre and covariance of prose are estimated robustly from the documents that are no lists, tables or junk by their lines,
+copies counted once: medians and median deviations first, then means and covariances over the documents that lie near,
+twice. The Mahalanobis distance to that centre says how unusual a document is, and splits into one contribution a
+statistic. The kind follows from the share of lines that are entries of a list, rows of a table or no readable language,
+and from nothing else, so that it doesn't depend on what else is in the table.
 """
 
 from __future__ import annotations
@@ -154,11 +155,18 @@ def statistics(df: DataFrame, key: str, text: str, common: DataFrame) -> DataFra
     return docs.mapInArrow(_measured(known), "doc_id long, language string, words long, " + ", ".join(f"{s} double" for s in STATS)).distinct()
 
 
+def of_prose(stats: DataFrame) -> DataFrame:
+    """(language, *STATS) of the documents of a language of which no more than half of the lines are entries of a list, rows
+    of a table or unreadable, taken together. Documents with the same statistics throughout, as copies have, come out once."""
+    known = stats.where((F.col("language") != UNKNOWN) & (F.col("list_lines") + F.col("table_lines") + F.col("unreadable_lines") <= 0.5))
+    return known.select("language", *STATS).distinct()
+
+
 class Prose:
     """Centre and inverse covariance of prose for each language; a few numbers a language, held by the driver."""
 
     def __init__(self, stats: DataFrame, rounds: int = 2):
-        known = stats.where(F.col("language") != UNKNOWN)
+        known = cut(of_prose(stats)).withColumn("doc_id", F.lit(None).cast("long"))
         stats = known.unionByName(known.withColumn("language", F.lit(UNKNOWN)))  # texts of no language are held against all prose
         mid = self._medians(stats)
         off = stats.select("doc_id", "language", *STATS).mapInArrow(_with_model(mid, lambda x, m: np.abs(x - m)), "language string, " + ", ".join(f"{s} double" for s in STATS))
@@ -186,7 +194,7 @@ class Prose:
 
         With S the inverse covariance and x the deviation, statistic i contributes x_i * (S x)_i; the parts add up to the
         distance. A part can be slightly negative where correlated statistics explain each other. Documents of a language
-        without a model (only if no document has any known word) have no distance.
+        without prose are held against all prose; where there is no prose at all, no document has a distance.
         """
         schema = "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATS) + ", parts array<double>, distance double"
         return stats.select("doc_id", "language", *STATS).mapInArrow(_distances(self.models), schema)
@@ -215,10 +223,10 @@ def _distances(models: dict[str, tuple[np.ndarray, np.ndarray]]):
             x, langs = _values(b), np.array(b.column(1).to_pylist(), dtype=object)
             parts = np.full(x.shape, np.nan)
             for lang in set(langs):
-                if lang in models:
+                if (model := models.get(lang, models.get(UNKNOWN))) is not None:
                     at = langs == lang
-                    d = x[at] - models[lang][0]
-                    parts[at] = d * (d @ models[lang][1])
+                    d = x[at] - model[0]
+                    parts[at] = d * (d @ model[1])
             total, known = parts.sum(axis=1), ~np.isnan(parts[:, 0]) if len(parts) else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, list_array(np.arange(len(x) + 1) * len(STATS), parts.ravel()), pa.array(total, mask=~known)], [*b.schema.names, "parts", "distance"]
@@ -227,13 +235,13 @@ def _distances(models: dict[str, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def outliers(stats: DataFrame, prose: Prose | None = None, far: float = FAR) -> DataFrame:
+def outliers(stats: DataFrame, prose: Prose | None = None) -> DataFrame:
     """Each document with its distance, the statistic that contributes most, and its kind: (doc_id, language, distance,
-    parts, main, kind). Kind is ``list``, ``table`` or ``junk`` for documents far from prose of which more than half of
-    the lines are such, else ``prose``."""
+    parts, main, kind). Kind is ``list``, ``table`` or ``junk`` for documents of which more than half of the lines are such,
+    however near to prose, else ``prose``."""
     scored = (prose or Prose(stats)).distances(stats)
     largest = F.array_position("parts", F.array_max("parts"))
-    kind = F.when(F.col("distance") <= far, "prose").when(F.col("list_lines") > 0.5, "list").when(F.col("table_lines") > 0.5, "table").when(F.col("unreadable_lines") > 0.5, "junk").otherwise("prose")
+    kind = F.when(F.col("list_lines") > 0.5, "list").when(F.col("table_lines") > 0.5, "table").when(F.col("unreadable_lines") > 0.5, "junk").otherwise("prose")
     return scored.select("doc_id", "language", "distance", "parts", F.element_at(F.array(*map(F.lit, STATS)), largest.cast("int")).alias("main"), kind.alias("kind"), *STATS)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.quality import STATS, Common, Prose, classified, is_table_row, measure, statistics
+from quire.llm.quality import FAR, STATS, Common, Prose, classified, is_table_row, measure, statistics
 
 COMMON = Common([("en", "the"), ("en", "of"), ("en", "and"), ("he", "של"), ("he", "את")])
 
@@ -70,3 +70,17 @@ def test_distance_is_mahalanobis(spark):
     for r in prose.distances(stats).where("language = 'en'").limit(30).collect():
         x = np.array([r[c] for c in STATS]) - m
         assert r.distance == pytest.approx(x @ s @ x)
+
+
+def test_lists_outnumber_prose(spark):
+    """Most documents of the language are copies of one list, others are different lists; the prose is still the centre."""
+    common = spark.createDataFrame([("en", w) for w in ("the", "of", "and")], "lang string, word string")
+    prose = make(100)[:100]
+    one = "\n".join(f"- the {w} of it" for w in ("end", "word", "line", "book", "page", "song"))
+    docs = [*prose, *((1000 + i, one) for i in range(300)), *((2000 + i, "\n".join(f"{k}. the word{i} and {k}" for k in range(4 + i % 9))) for i in range(150))]
+    rows = classified(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", common).collect()
+    assert len(rows) == 550
+    assert {r.kind for r in rows if r.doc_id >= 1000} == {"list"} and {r.kind for r in rows if r.doc_id < 1000} == {"prose"}
+    assert all(r.distance > FAR for r in rows if r.doc_id >= 1000) and sum(r.distance <= FAR for r in rows if r.doc_id < 1000) >= 95
+    lists = classified(spark.createDataFrame(docs[100:], "doc_id long, text string"), "doc_id", "text", common)
+    assert lists.where("kind = 'list' AND distance IS NULL").count() == 450
