@@ -244,21 +244,17 @@ class SearchEngine:
         return [q]
 
     def _with_forms(self, plans: list[WordPlan]) -> list[WordPlan]:
-        """Words with the forms of the morphology between the typed form and the edit distance. Of the terms within the
-        distance the hundred nearest are kept beside the forms."""
+        """Words with the forms of the morphology between the typed form and the edit distance, all under one ceiling."""
         forms: dict[str, list[str]] = {}
         for r in self._morphology.forms([p.word for p in plans]).collect():
             forms.setdefault(r.word, []).append(r.form)
         out = []
         for p in plans:
-            found = {r.term: r for r in _near(self.terms(), p).collect()}
             known = forms.get(p.word, [])
-            branches = [Branch(t, EXACT) for t, r in found.items() if r.branch == 0]
-            branches += [Branch(f"(?:{'|'.join(known)})", 1)] if known else []
+            branches = [Branch(f"(?:{'|'.join(known)})", 1)] if known else []
             # forms are kept without final letters, so terms are compared in that shape too
             branches += [Branch("".join(_final_class(c) for c in f), 1) for f in known]
-            branches += [Branch(t, OTHER) for t, r in sorted(found.items(), key=lambda x: (x[1].branch, x[0])) if r.branch]
-            out.append(WordPlan(p.word, branches or [Branch(p.word, EXACT)]))
+            out.append(replace(p, branches=branches))
         return out
 
     def advanced_query(
@@ -607,12 +603,6 @@ def _final_class(c: str) -> str:
     return f"[{c}{back[c]}]" if c in back else c
 
 
-def _near(terms: DataFrame, p: WordPlan) -> DataFrame:
-    from quire.operators.expand import ranked
-
-    return ranked(terms, p).orderBy("branch", "term").limit(MAX_TERMS_PLAIN)
-
-
 def _aliased(word: str) -> WordPlan:
     """A word of a smart search; a name written with a placeholder letter also matches its canonical spelling."""
     import re

@@ -57,11 +57,15 @@ def _any(branches: list[Branch]) -> Column:
 
 
 def ranked(terms: DataFrame, plan: WordPlan) -> DataFrame:
-    """(term, df, len, branch, tier) of the terms a plan matches; ``branch`` is the first branch that does."""
+    """(term, df, len, branch, tier) of the terms a plan matches; ``branch`` is the first branch that does. Terms within the
+    edit distance of a fuzzy plan follow its branches by distance, those at distance 0 come first."""
     if plan.fuzzy is not None:
         d = F.least(F.levenshtein("term", F.lit(plan.word)), F.levenshtein("bare", F.lit(plan.word)))
-        near = terms.where(F.abs(F.col("len") - len(plan.word)) <= plan.fuzzy + 2).withColumn("branch", d).where(F.col("branch") <= plan.fuzzy)
-        return near.withColumn("tier", F.when(F.col("branch") == 0, EXACT).otherwise(OTHER))
+        d = F.when((F.abs(F.col("len") - len(plan.word)) <= plan.fuzzy + 2) & (d <= plan.fuzzy), d)
+        hits = [F.when(d == 0, F.lit(0)), *(F.when(matches(b), F.lit(i)) for i, b in enumerate(plan.branches, 1)), d + len(plan.branches)]
+        tiers = [EXACT, *(b.tier for b in plan.branches), *[OTHER] * plan.fuzzy]
+        near = terms.where(d.isNotNull() | _any(plan.branches)).withColumn("branch", F.coalesce(*hits)).where("branch IS NOT NULL")
+        return near.withColumn("tier", F.element_at(F.array(*map(F.lit, tiers)), F.col("branch") + 1))
     if not plan.branches:
         return terms.limit(0).withColumn("branch", F.lit(0)).withColumn("tier", F.lit(0))
     rank = F.coalesce(*(F.when(matches(b), F.lit(i)) for i, b in enumerate(plan.branches)))

@@ -259,6 +259,27 @@ def test_morphology(spark, tmp_path):
     assert forms == {"הלכתי", "הולכ", "הולכימ"}
 
 
+def test_morphology_takes_no_hits_away(spark, tmp_path):
+    from dataclasses import replace
+
+    from quire.operators.lexicons import Morphology
+
+    e = SearchEngine(spark, str(tmp_path))
+    letters = "אבגדהוזחטיכלמנסעפצקרש"
+    e.add_text_book("t", "", "p", "\n".join(["דבר", "דיברתי", *(f"{x}{y}דבר" for x in letters for y in letters[:8])]))
+    e.commit()
+    ids = lambda: {r.ordinal for r in e.search_fuzzy("דבר", max_distance=2, limit=1000).rows.collect()}
+    without = ids()
+    assert len(without) == 1 + 21 * 8
+    base, surface = spark.createDataFrame([(1, "דבר")], "id long, value string"), spark.createDataFrame([(1, "דיברתי", 1)], "id long, value string, base_id long")
+    e.set_magic_dictionary(Morphology(base, surface))
+    assert ids() == without | {1}
+    q = e.fuzzy_query("דבר")
+    assert not e.hits(q).truncated
+    cut = e.hits([replace(q[0], cap=100)])
+    assert cut.truncated and len(cut.words[0].terms) == 100 and list(cut.words[0].terms)[:2] == ["דבר", "דיברתי"]
+
+
 def test_semantic(spark, device):
     lines = device.corpus().lines.select("id", "file_path").collect()
     keys = spark.createDataFrame([(r.id, r.file_path, f"k{i % 4}") for i, r in enumerate(sorted(lines, key=lambda r: r.id))], "id long, file_path string, key string")
