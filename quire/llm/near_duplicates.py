@@ -4,7 +4,7 @@ A text is a bag of words. The bag becomes a set by numbering the occurrences of
 sets is the number of common words divided by the number of words in either, repetitions counted. MinHash samples of the
 set are cut into bands; texts that agree in one whole band are candidates. The same samples are folded into a bitmap in
 which each sample flips one bit (an odd sketch): the XOR of two bitmaps has as many odd cells as the samples differ in,
-from which a similarity is estimated precisely where it is high, with four 64-bit words a text. Candidates whose estimate
+from which a similarity is estimated precisely where it is high, with eight 64-bit words a text. Candidates whose estimate
 is far below the threshold are dropped; the rest are decided by counting.
 
 Copies (texts with equal bags) are one class and go through all this once, as one representative. No bucket is collected:
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import WordHashes, as_long, bare_words, list_array, mix64, offsets_of
 from quire.session import cut
 
-BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses every band with a chance of (1 - 0.8**5)**28 = 1.5e-5
-SKETCH_BITS = 256
-#: The estimate from 140 samples and 256 cells strays by about 0.04 at 0.8; candidates this far below the threshold go.
+BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses every band with a chance of (1 - 0.8**5)**40 = 1.3e-7
+SKETCH_BITS = 512
+#: Candidates whose estimate is this far below the threshold go; from 200 samples and 512 cells, one at 0.8 does with a
+#: chance of 4e-10 (256 cells: 1.2e-6, ten times what the bands miss).
 SLACK = 0.25
 MIN_WORDS = 12
 THRESHOLD = (4, 5)  # numerator and denominator of 0.8, so that the decision is exact
@@ -165,7 +166,7 @@ class NearDuplicates:
     def _links(self) -> DataFrame:
         num, den = THRESHOLD
         pairs = self.candidates()
-        for x in "ab":  # the sketches first: 32 bytes a side decide on most candidates
+        for x in "ab":  # the sketches first: 64 bytes a side decide on most candidates
             on = ["part", f"rep_{x}", f"sig_a_{x}"]
             pairs = pairs.join(self.sketched.select("part", F.col("rep").alias(on[1]), F.col("sig_a").alias(on[2]), *(F.col(w).alias(f"{w}_{x}") for w in _WORDS)), on)
         odd = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))

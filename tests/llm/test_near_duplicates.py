@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -5,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from quire.llm.common import bare_words
-from quire.llm.near_duplicates import NearDuplicates, connected
+from quire.llm.near_duplicates import BANDS, ROWS, SKETCH_BITS, SLACK, NearDuplicates, connected
 
 
 def brute(rows):
@@ -68,3 +69,16 @@ def test_connected(spark):
     e = spark.createDataFrame([("p", i, i + 1) for i in range(40)] + [("p", 100, 101), ("q", 1, 50), ("p", 7, 7)], "part string, a long, b long")
     got = {(r.part, r.node): r.root for r in connected(e, "part", "a", "b").collect()}
     assert got == {("p", i): 0 for i in range(41)} | {("p", 100): 100, ("p", 101): 100, ("q", 1): 1, ("q", 50): 1}
+
+
+def test_chance_of_a_miss():
+    """At exactly 0.8, bands and sketches together miss fewer pairs than 24 bands of 4 did alone."""
+    n, bits, far = BANDS * ROWS, SKETCH_BITS, 0.8 - SLACK
+    odd, after = [1.0] + [0.0] * bits, []
+    for _ in range(2 * n + 1):  # after[b][k]: the chance of k odd cells when b values have flipped a cell
+        after.append(odd)
+        odd = [(odd[k - 1] * (bits - k + 1) / bits if k else 0) + (odd[k + 1] * (k + 1) / bits if k < bits else 0) for k in range(bits + 1)]
+    low = [k for k in range(bits + 1) if 2 * k >= bits or 1 + bits / (4 * n) * math.log(1 - 2 * k / bits) < far]
+    sifted = sum(math.comb(n, d) * 0.2**d * 0.8 ** (n - d) * sum(after[2 * d][k] for k in low) for d in range(n + 1))
+    assert (1 - 0.8**ROWS) ** BANDS + sifted < (1 - 0.8**4) ** 24
+    assert sifted < 1e-9
