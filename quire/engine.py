@@ -426,7 +426,8 @@ class SearchEngine:
         return self.search("user_regex", raw, highlight=False, **args)
 
     def search_user_regex_stream(self, raw: str, facets: Sequence[str] = (), chunk_size: int = 50) -> Iterator[results.Update]:
-        return results.stream_by_books(regexes.matched(self.corpus(), raw, list(facets), self.terms(), regexes.MAX_HITS).rows, chunk_size)
+        """Every matching line, without a ceiling."""
+        return results.stream_by_books(regexes.matched(self.corpus(), raw, list(facets), self.terms()).rows, chunk_size)
 
     def cancel_lexical_search(self, request: str) -> None:
         results.cancel(self.spark, request)

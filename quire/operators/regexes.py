@@ -17,9 +17,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from quire.functions import text as T
 from quire.functions.words import EXACT, Branch, WordPlan, is_plain_word
 from quire.operators.corpus import Corpus
-from quire.operators.search import Hits, Query, facet_filter, search
+from quire.operators.search import CATALOGUE, Hits, Query, facet_filter, order_keys, search
+from quire.session import cut
 
-MAX_CHARS, MAX_HITS = 300, 100_000
+MAX_CHARS = 300
 INVALID, SINGLE_WORD, WORD_SEQUENCE, CROSS_SPACE = "invalid", "singleWord", "wordSequence", "crossSpace"
 #: What Java reads otherwise than a linear-time engine, or not at all: look-around, back-references, possessive and
 #: atomic groups, lazy repeats, inline comments.
@@ -148,7 +149,7 @@ def line_pattern(r: UserRegex) -> str:
 def matched(c: Corpus, raw: str, facets: list[str] | None = None, terms: DataFrame | None = None, limit: int | None = None) -> Hits:
     """The lines a typed pattern matches; an invalid pattern is an error. A line pattern never crosses a line; its anchors
     also hold behind and before enumerators. Words that every match must hold narrow the lines before the pattern runs.
-    ``limit`` (100,000 for display) marks the result truncated beyond it."""
+    Of more than ``limit`` lines the first in catalogue order are kept, chosen once, and the result is marked truncated."""
     r = parse(raw)
     if r.kind == INVALID:
         raise ValueError(f"invalid pattern: {r.reason}")
@@ -169,9 +170,11 @@ def matched(c: Corpus, raw: str, facets: list[str] | None = None, terms: DataFra
         hit = hit | F.trim(T.content(folded)).rlike(pattern)
     zero = (F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("span"), F.lit(False).alias("crosses"))
     found = rows.where(hit).select("*", *zero)
-    if limit is not None:
-        found = found.limit(limit)
-    return Hits(found, False, [])
+    if limit is None:
+        return Hits(found, False, [])
+    first = cut(found.orderBy(*order_keys(CATALOGUE)).limit(limit + 1))
+    truncated = first.count() > limit
+    return Hits(cut(first.orderBy(*order_keys(CATALOGUE)).limit(limit)) if truncated else first, truncated, [])
 
 
 _RANGE = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])

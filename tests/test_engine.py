@@ -243,6 +243,22 @@ def test_pdf(spark, tmp_path):
     assert e.add_pdf_book_bytes("t", "/a", "g", data, [0, 5], ["a", "b"]) == 2
 
 
+def test_regex_stream_and_limit(words, monkeypatch):
+    from quire.operators import regexes
+
+    monkeypatch.setattr(regexes, "MAX_HITS", 3, raising=False)
+    lines = lambda rows: sorted(r.id for r in rows)
+    pattern = "^.+"
+    every = regexes.matched(words.corpus(), pattern)
+    ids = lines(every.rows.collect())
+    streamed = [r.id for u in words.search_user_regex_stream(pattern) for r in u.rows or []]
+    assert not every.truncated and len(ids) > 3 and sorted(streamed) == ids
+    some = regexes.matched(words.corpus(), pattern, limit=3)
+    assert some.truncated and len(lines(some.rows.collect())) == 3 and lines(some.rows.collect()) == lines(some.rows.collect())
+    whole = regexes.matched(words.corpus(), pattern, limit=len(ids))
+    assert not whole.truncated and lines(whole.rows.collect()) == ids
+
+
 def test_morphology(spark, tmp_path):
     from quire.operators.lexicons import Morphology
 
