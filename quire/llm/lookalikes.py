@@ -21,10 +21,16 @@ CYRILLIC_AS_LATIN = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј"
 GREEK_AS_LATIN = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v"}
 JOINED_PAIRS = {"װ": "וו", "ױ": "וי", "ײ": "יי"}
 MARKS = {"׳": "'", "’": "'", "‘": "'", "ʼ": "'", "′": "'", "״": '"', "”": '"', "“": '"', "″": '"', "׃": ":", "∶": ":", "‐": "-", "‑": "-"}
-PROTOTYPES = {**CYRILLIC_AS_LATIN, **GREEK_AS_LATIN, **JOINED_PAIRS, **MARKS}
+# From the confusables of Unicode (as in ICU 77), below U+3000 and in the extensions of Latin and Cyrillic: letters of Greek,
+# Cyrillic and Armenian with the shape of a letter of another of these scripts or of Latin, of the same case, and marks with the
+# shape of an ASCII mark. Left out as visible differences: a second letter of one script with the same prototype (unless there is
+# no telling them apart), letters against digits or marks, Hebrew letters, and α, γ, υ, σ, г, И, и, which upright type tells apart.
+UNICODE_LETTERS = {"Ϳ": "J", "ι": "i", "ρ": "p", "Ϝ": "F", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Г": "Γ", "Л": "Λ", "П": "Π", "Ф": "Φ", "к": "κ", "п": "π", "т": "τ", "ф": "φ", "є": "ε", "Ѱ": "Ψ", "ѱ": "ψ", "Ѳ": "Θ", "Ѵ": "V", "ѵ": "v", "Ӏ": "I", "ӏ": "i", "Ԍ": "G", "Ԝ": "W", "Ս": "U", "Տ": "S", "Փ": "Φ", "Օ": "O", "ա": "w", "գ": "q", "ծ": "δ", "հ": "h", "յ": "ȷ", "ո": "n", "պ": "ɰ", "ս": "u", "ց": "g", "ք": "f", "օ": "o", "ꙍ": "ω"}
+UNICODE_MARKS = {"¸": ",", "ʹ": "'", "ʺ": "\"", "ʻ": "'", "ʽ": "'", "ʾ": "'", "˂": "<", "˃": ">", "˄": "^", "ˆ": "^", "ˈ": "'", "ː": ":", "˗": "-", "˜": "~", "˝": "\"", "ˮ": "\"", "˶": "\"", "˸": ":", "՚": "'", "։": ":", "׀": "|", "؍": ",", "٪": "%", "٫": ",", "٭": "*", "۔": "-", "܁": ".", "܂": ".", "܃": ":", "܄": ":", "ߺ": "_", "᐀": "=", "᛬": ":", "᛭": "+", "᜵": "/", "᠃": ":", "᠉": ":", "᳓": "\"", "῀": "~", "‒": "-", "–": "-", "‚": ",", "‛": "'", "‟": "\"", "․": ".", "‶": "\"", "‹": "<", "›": ">", "⁁": "/", "⁃": "-", "⁄": "/", "⁎": "*", "⁒": "%", "⁓": "~", "⁚": ":", "−": "-", "∕": "/", "∖": "\\", "∗": "*", "∣": "|", "∼": "~", "⏽": "|", "╱": "/", "❨": "(", "❩": ")", "❮": "<", "❯": ">", "❲": "(", "❳": ")", "❴": "{", "❵": "}", "➕": "+", "➖": "-", "⟋": "/", "⟍": "\\", "⧵": "\\", "⧸": "/", "⧹": "\\", "⹀": "=", "⼂": "\\", "⼃": "/", "꞉": ":"}
+PROTOTYPES = {**UNICODE_LETTERS, **UNICODE_MARKS, **CYRILLIC_AS_LATIN, **GREEK_AS_LATIN, **JOINED_PAIRS, **MARKS}
 
 #: Kinds of compatibility decomposition that only change width or presentation, not what is seen.
-_FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+_FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<vertical>")
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 MIN_CHARS = 40
 

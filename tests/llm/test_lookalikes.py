@@ -1,6 +1,6 @@
 from itertools import combinations
 
-from quire.llm.lookalikes import canonical, canonical_text, lookalike_pairs, skeleton
+from quire.llm.lookalikes import PROTOTYPES, canonical, canonical_text, lookalike_pairs, skeleton
 
 LONG = " and a tail that makes the text long enough"
 
@@ -34,3 +34,12 @@ def test_pairs_equal_brute_force(spark):
     assert got == sorted(want) and want
     assert lookalike_pairs(df.limit(0), "id", ["raw"]).count() == 0
     assert df.where("id = 1").select(canonical_text("raw").alias("c")).first().c == canonical(texts[1])
+
+
+def test_unicode_confusables():
+    for a, b in [("p", "ρ"), ("i", "ι"), ("к", "κ"), ("o", "օ"), ("O", "Օ"), ("I", "Ӏ"), ("Γ", "Г"), ("a-b", "a–b"), ("a-b", "a−b"), ("a-b", "a‒b"), ("a:b", "a։b"), ("(a)", "﹙a﹚"), ("(a)", "︵a︶"), ("a,b", "a﹐b"), ("'", "‛")]:
+        assert skeleton(a) == skeleton(b), (a, b)
+    for a, b in [("a", "α"), ("o", "σ"), ("о", "σ"), ("I", "l"), ("И", "N"), ("a-b", "a—b"), ("Ү", "У"), ("ו", "ן"), ("ס", "o"), ("י", "'"), ("k", "K"), ("x", "×")]:
+        assert skeleton(a) != skeleton(b), (a, b)
+    for c, to in PROTOTYPES.items():
+        assert skeleton(c) == skeleton(to) == skeleton(skeleton(c)), c
