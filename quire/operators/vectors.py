@@ -6,9 +6,11 @@ go stale, and a filter on books is an ordinary predicate before the scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +66,51 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str = "key", ve
     return rows.orderBy(F.col("similarity").desc(), F.col(key)).limit(k)
 
 
+def _nearest_of_batches(ids: np.ndarray, queries: np.ndarray, k: int):
+    """mapInArrow: (key, vector) -> (query, key, similarity), the k nearest of each batch to each query."""
+    norms = np.sqrt((queries**2).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and v is not None and len(v) == queries.shape[1] and None not in v]
+            if not rows:
+                continue
+            keys, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+            length = np.sqrt((x**2).sum(axis=1))
+            keys, x, length = keys[length > 0], x[length > 0], length[length > 0]
+            near = np.round(((x @ queries.T) / (length[:, None] * norms) + 1) / 2, 12)
+            for j, q in enumerate(ids):
+                top = np.lexsort((keys, -near[:, j]))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([int(q)] * len(top), pa.int64()), pa.array(keys[top], pa.int64()), pa.array(near[top, j])], ["query", "key", "similarity"])
+
+    return run
+
+
+def knn_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "embedding", block: int = 256) -> DataFrame:
+    """(query, key, similarity, rank): the k nearest vectors of every row of ``queries``, whose keys are whole numbers.
+
+    Similarities (cos + 1) / 2 are compared at 12 digits, ties by key; a query in ``vectors`` is its own neighbour. Queries
+    go out in blocks of ``block``, the only vectors that the driver reads at a time. Null keys, null and zero vectors and
+    those of another length have no similarity; of queries that repeat a key one is taken.
+    """
+    if k < 1:
+        raise SearchError("invalidLimit", "k is at least 1")
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL").dropDuplicates(["key"]).orderBy("key")
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    out, last = None, None
+    while found := (asked if last is None else asked.where(F.col("key") > last)).limit(block).collect():
+        last = found[-1].key
+        for n in sorted({len(r.v) for r in found}):
+            same = [r for r in found if len(r.v) == n and None not in r.v and any(r.v)]
+            if same:
+                part = rows.mapInArrow(_nearest_of_batches(np.array([r.key for r in same]), np.array([r.v for r in same]), k), "query long, key long, similarity double")
+                out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], "query long, key long, similarity double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), "key"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query", F.col("key").alias(key), "similarity", "rank")
+
+
 def resolve(nearest: DataFrame, lines: DataFrame, per_hit: int = MAX_LINES_PER_HIT) -> DataFrame:
     """Lines of the nearest keys: each key's best ``per_hit`` lines, one of each book before a second of any."""
     joined = lines.join(nearest, "key").withColumn("turn", F.row_number().over(W.partitionBy("key", "file_path").orderBy("id")))

@@ -373,6 +373,22 @@ add("knn_cosine", nearest, f"WITH {_QV}, s AS (SELECT vec_id, {_COS} AS x FROM e
 add("filtered_knn", lambda s, d: nearest(s, d, F.col("label") == 1), f"WITH {_QV}, s AS (SELECT vec_id, {_COS} AS x FROM embeddings e, q WHERE label = 1) SELECT vec_id, round(x, 6) AS similarity FROM s ORDER BY x DESC, vec_id LIMIT 20")
 
 
+def nearest_of_all(spark: SparkSession, d: str, where: Column | None = None, k: int = 20) -> DataFrame:
+    """The same for every hundredth id as a query."""
+    from quire.operators.vectors import knn_all
+
+    e = table(spark, d, "embeddings")
+    return knn_all(e if where is None else e.where(where), e.where("vec_id % 100 = 0"), k, "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
+def _nearest_of_all_sql(where: str) -> str:
+    return f"WITH q AS (SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query, e.vec_id, {_COS} AS x FROM embeddings e, q WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(x, 12) DESC, vec_id)::INTEGER AS rank FROM s) SELECT query, vec_id, round(x, 6) AS similarity, rank FROM r WHERE rank <= 20"
+
+
+add("knn_cosine_all", nearest_of_all, _nearest_of_all_sql("true"))
+add("filtered_knn_all", lambda s, d: nearest_of_all(s, d, F.col("label") == 1), _nearest_of_all_sql("label = 1"))
+
+
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal ranks of the nearest vectors and of a second ranking of the same ids (by label and id)."""
     from quire.operators.vectors import Ranking, fuse
