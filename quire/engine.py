@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import display
 from quire.functions import text as T
-from quire.functions.hashes import line_hash
 from quire.functions.words import EXACT, MAX_TERMS_PLAIN, OTHER, Branch, WordOptions, WordPlan, options_at, plan_word, resolve_gaps, split_words
 from quire.operators import lexicons, regexes, vectors
-from quire.operators.corpus import SECTION_MASK, Corpus, build, with_order
-from quire.operators.search import ALL, CATALOGUE, IDENTICAL_TEXT, RELEVANCE, WORD_DISTANCE, Hits, Query, count_by_book, facet_counts, facet_filter, grouped, page, search
+from quire.operators.corpus import BOOK_SHIFT, POSTING, SECTION_MASK, TERM, Corpus, book_number, books_of, clustered, counts_of, postings_of, size_of, with_tokens
+from quire.operators.incremental import VersionedTable, process_new
+from quire.operators.search import ALL, CATALOGUE, IDENTICAL_TEXT, RELEVANCE, WORD_DISTANCE, Hits, Query, attached, count_by_book, facet_counts, facet_filter, grouped, page, search
+from quire.session import BROADCAST_ROWS, cut, small
 from quire.sources import books
 from quire.sources.store import Store, compatibility, difference
 from quire.streaming import results
@@ -30,6 +34,28 @@ class Page:
     groups: int | None = None
 
 
+@dataclass
+class SemanticSession:
+    """A frozen ranking of a semantic search, why its semantic half is missing (if it is), and whether it starts anew
+    because the content changed since the session before."""
+
+    engine: SearchEngine
+    state: tuple
+    ranked: list
+    reason: str | None
+    restarted: bool
+
+    @property
+    def total(self) -> int:
+        return len(self.ranked)
+
+    def page(self, limit: int = 100, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` and on, with the columns of their lines, in order."""
+        rows = [(i, r.id, r.score, r.source, r.merged_count, list(r.siblings)) for i, r in enumerate(self.ranked[offset : offset + limit], offset)]
+        at = self.engine.spark.createDataFrame(rows, "rank int, id long, score double, source string, merged_count long, siblings array<long>")
+        return _by_ids(self.engine.corpus().lines, [r[1] for r in rows]).join(F.broadcast(at), "id").orderBy("rank")
+
+
 @dataclass
 class Count:
     count: int
@@ -44,10 +70,13 @@ class SearchEngine:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store, self.path = spark, Store(spark, path), path
-        self._order: DataFrame | None = None
-        self._corpus: tuple[tuple[int, int], Corpus, DataFrame] | None = None
+        index = lambda name, ddl, key: VersionedTable(spark, f"{path}/index/{name}", StructType.fromDDL(ddl), key)
+        self._postings, self._counts = index("postings", POSTING, "id"), index("terms", TERM, "term")
+        self._corpus: tuple[tuple[int, int], Corpus] | None = None
+        self._pages: OrderedDict[tuple, _Ranked] = OrderedDict()
         self._morphology = self._translations = self._acronyms = self._blacklist = None
-        self._vectors: list[DataFrame] = []
+        self._vector_sets = VersionedTable(spark, f"{path}/vectors", StructType.fromDDL("key string, embedding array<double>"), "key")
+        self._sessions: OrderedDict[tuple, SemanticSession] = OrderedDict()
         self._sources: dict[str, DataFrame | None] = {}
 
     # -- books in -------------------------------------------------------------------------------------------------------
@@ -106,7 +135,15 @@ class SearchEngine:
         self.store.clear()
 
     def commit(self) -> int:
-        return self.store.commit()
+        """Publish what is staged, and bring the index up to it: only lines that came or went are read for that."""
+        version = self.store.commit()
+        self._update_index()
+        return version
+
+    def _update_index(self) -> None:
+        table = self.store.table
+        process_new(table, self._postings, lambda d: (clustered(postings_of(_tokenized(d.added))), d.removed.select("id")))
+        process_new(table, self._counts, lambda d: (counts_of(_tokenized(d.added)).unionByName(counts_of(_tokenized(d.removed), -1)).sortWithinPartitions("term"), None))
 
     def rollback(self) -> None:
         self.store.rollback()
@@ -123,25 +160,19 @@ class SearchEngine:
     close_index_writer = release_memory = set_bulk_indexing = set_economy_indexing = lambda self, *_: None
 
     def set_book_order(self, order: DataFrame) -> int:
-        """Replace the mapping of books to catalogue and generation order; returns its revision, which grows only on a change."""
-        digest = order.select(F.bit_xor(F.xxhash64("file_path", "catalogue_order", "generation_order"))).first()[0] or 0
-        meta = self.store.table.manifest().meta
-        if meta.get("order_digest") != digest or self._order is None:
-            self._order = order.cache()
-            if meta.get("order_digest") != digest:
-                self.store.set_meta(order_digest=digest, order_revision=int(meta.get("order_revision", 0)) + 1)
-        return self.book_order_revision()
+        """Replace the mapping of books to catalogue and generation order; returns its revision, which grows only on a change.
+        The mapping is stored; an engine opened later has it."""
+        return self.store.set_order(order)
 
     def book_order_revision(self) -> int:
         return int(self.store.table.manifest().meta.get("order_revision", 0))
 
     def search_snapshot(self) -> tuple:
-        """What identifies results: content, order and dictionaries."""
-        return (*self.store.snapshot(), self.has_magic_dictionary(), self.has_translation_dictionary(), self.has_acronyms_dictionary())
+        """What identifies results: content, order, dictionaries and line sources."""
+        return (*self.store.snapshot(), *map(id, (self._morphology, self._translations, self._acronyms, self._blacklist)), tuple(sorted((k, id(v)) for k, v in self._sources.items())))
 
     def warm_book_order(self) -> None:
-        if self._order is not None:
-            self._order.count()
+        self.corpus()
 
     def check_index_compatibility(self) -> str:
         return compatibility(self.spark, self.path)
@@ -149,20 +180,26 @@ class SearchEngine:
     # -- what is stored -----------------------------------------------------------------------------------------------------
 
     def corpus(self) -> Corpus:
-        """The committed lines with tokens, edges, signatures and orders; kept while the snapshot stays the same."""
+        """The committed lines with their index, dictionary and books; opened anew when the snapshot changes."""
         now = self.store.snapshot()
         if self._corpus is None or self._corpus[0] != now:
-            if self._corpus is not None:
-                self._corpus[1].lines.unpersist()
-            lines = self.store.lines().withColumn("section_id", F.col("id").bitwiseAND(F.lit(SECTION_MASK)) + F.coalesce("section_ordinal", F.lit(0)))
-            c = build(lines.withColumn("vocalized", F.coalesce("vocalized", "plain")), vocalized=True)
-            c = Corpus(with_order(c.lines.withColumn("line_hash", line_hash(F.col("plain"))), self._order).cache())
-            self._corpus = (now, c, c.terms().cache())
+            self._update_index()
+            lines = _with_sections(self.store.lines())
+            books = cut(books_of(lines, self.store.order()))
+            self._corpus = (now, Corpus(lines, self._postings.read(), self._counts.read(), small(books), size_of(lines)))
         return self._corpus[1]
 
     def terms(self) -> DataFrame:
-        self.corpus()
-        return self._corpus[2]
+        return self.corpus().terms()
+
+    def get_documents_by_ids(self, ids: Sequence[int]) -> DataFrame:
+        """The lines with these ids, found by the statistics of the files; unknown ids give none."""
+        return _by_ids(self.store.lines(), ids)
+
+    def neighbour(self, id_: int, step: int = 1) -> DataFrame:
+        """The line ``step`` places behind (or before) a line in its book."""
+        same = (id_ + step) >> BOOK_SHIFT == id_ >> BOOK_SHIFT
+        return self.get_documents_by_ids([id_ + step] if same else [])
 
     def get_document_by_id(self, id_: int) -> DataFrame:
         return self.store.lines().where(F.col("id") == id_)
@@ -277,6 +314,10 @@ class SearchEngine:
         order = distance if any_order and not custom_spacing else None
         q = Query([plan_word(w, o) for w, o in zip(words, chosen, strict=True)], resolve_gaps(len(words), distance, custom_spacing), order, scope, word_match_mode, word_match_count, list(facets), negative)
         out = [q]
+        for i, o in enumerate(chosen):  # alternatives of several words are wordings of their own
+            for other in (split_words(a) for a in o.alternatives):
+                if len(other) > 1:
+                    out.append(replace(q, words=[*q.words[:i], *map(plan_word, other), *q.words[i + 1 :]], gaps=[*q.gaps[:i], *[0] * (len(other) - 1), *q.gaps[i:]]))
         if self._acronyms is not None and any(o.acronym for o in chosen):
             for other in lexicons.acronym_queries(self._acronyms, words):
                 out.append(replace(q, words=[plan_word(w) for w in other], gaps=resolve_gaps(len(other), distance)))
@@ -308,7 +349,7 @@ class SearchEngine:
             names = ["id", "tier", "score", "span", "crosses"]
             both = out.rows.select(*names).unionByName(h.rows.select(*names))
             best = both.groupBy("id").agg(F.min("tier").alias("tier"), F.max("score").alias("score"), F.min("span").alias("span"), F.min("crosses").alias("crosses"))
-            out = Hits(c.lines.join(best, "id"), out.truncated or h.truncated, out.words + h.words)
+            out = Hits(both_rows(c, best), out.truncated or h.truncated, out.words + h.words)
         return out
 
     def all_of(self, queries: list[Query], score: bool = False) -> Hits:
@@ -354,31 +395,81 @@ class SearchEngine:
         raise ValueError(f"unknown family {family!r}")
 
     def search(self, family: str, query, facets: Sequence[str] = (), limit: int = 100, offset: int = 0, order: str = CATALOGUE, grouping: str | None = None, highlight: bool = True, **args) -> Page:
-        """A page of a query family: rows with ``text`` (the painted snippet), the number of all hits, and of groups."""
-        h = self._run(family, query, facets, order == RELEVANCE, **args)
-        rows, groups = h.rows, None
-        total = rows.count()
-        if grouping:
-            rows = grouped(rows, grouping, order)
-            groups = rows.count()
-        else:
-            rows = rows.withColumn("merged_count", F.lit(1)).withColumn("siblings", F.array().cast("array<bigint>"))
-        out = page(rows, order, limit, offset)
-        if highlight:
-            out = self._painted(out, h, args)
-        return Page(out, total, h.truncated, groups)
-
-    def _painted(self, rows: DataFrame, h: Hits, args: dict) -> DataFrame:
-        words = [frozenset(e.terms) | frozenset(t.replace('"', "").replace("'", "") for t in e.terms) for e in h.words]
+        """A page of a query family: rows in their order, numbered by ``rank``, with ``text`` (the painted snippet), the
+        number of all hits, and of groups. Pages of one query share its ranked hits (see _ranked)."""
+        key = (family, _frozen(query), tuple(facets), order, grouping, _frozen(args), self.search_snapshot())
+        r = self._ranked(key, lambda: self._run(family, query, facets, order == RELEVANCE, **args), order, grouping, offset + limit)
+        rows = r.window[offset : offset + limit]
+        return Page(self._shown(rows, r.hits, args if highlight else None), r.total, r.hits.truncated, r.groups)
+
+    def _ranked(self, key: tuple, run, order: str, grouping: str | None, need: int) -> _Ranked:
+        """The first hits of a query in order and how many there are: the page asked for and three more, at most
+        ``WINDOW`` rows (more only where a page lies behind them), kept for the last ``WINDOWS`` queries."""
+        got = self._pages.get(key)
+        if got is None or len(got.window) < min(need, got.all):
+            h = run()
+            rows, groups = h.rows, None
+            names = [c for c in ("id", "tier", "score", "span", "crosses") if c in rows.columns]
+            if grouping:
+                if grouping == IDENTICAL_TEXT:
+                    rows = attached(self.corpus(), rows, "line_hash")
+                rows = grouped(rows, grouping, order)
+                names += ["merged_count", "siblings"]
+            rows = rows.select(*names, *(c for c in ("book_no", "catalogue_order", "generation_order") if c in rows.columns)).persist()
+            try:
+                n = rows.count()
+                total = int(rows.agg(F.sum("merged_count")).first()[0] or 0) if grouping else n
+                groups = n if grouping else None
+                window = page(rows, order, max(need, min(need * 4, WINDOW))).select(*names).collect()
+            finally:
+                rows.unpersist()
+            got = _Ranked(h, window, total, groups, n)
+            self._pages[key] = got
+            while len(self._pages) > WINDOWS:
+                self._pages.popitem(last=False)
+        self._pages.move_to_end(key)
+        return got
+
+    def _shown(self, rows: list, h: Hits, args: dict | None) -> DataFrame:
+        """Ranked rows with the columns of their lines, which are looked up by id, in order."""
+        c = self.corpus()
+        ranked = [(i, r.id, r.tier, float(r.score), r.span, r.crosses, r.merged_count if "merged_count" in r else 1, list(r.siblings) if "siblings" in r else []) for i, r in enumerate(rows)]
+        at = F.broadcast(self.spark.createDataFrame(ranked, "rank int, id long, tier int, score double, span int, crosses boolean, merged_count long, siblings array<long>"))
+        near = [r.id for r in rows] + [r.id + 1 for r in rows if r.crosses]
+        lines = Corpus(_by_ids(c.lines, near), books=c.books).wide()
+        out = lines.join(at, "id")
+        if args is not None:
+            out = self._painted(out, lines, h, args)
+        return self._with_source_rows(out).orderBy("rank")
+
+    def _with_source_rows(self, rows: DataFrame) -> DataFrame:
+        """Rows of a page with the rows of their line sources: ``row_text``, and ``text_status``: ok, stale or unavailable, null
+        where no source is configured. Books of the library are ``id:N``, of users ``uid:N``, attached ones ``db:slug:N``."""
+        if not self._sources:
+            return rows.withColumn("row_text", F.lit(None).cast("string")).withColumn("text_status", F.lit(None).cast("string"))
+        part = F.split("file_path", ":")
+        kind = F.when(part[0] == "id", "library").when(part[0] == "uid", "user").when(part[0] == "db", F.get(part, F.lit(1)))
+        at = rows.withColumn("_source", kind).withColumn("book_id", F.element_at(part, -1).try_cast("long"))
+        live = [k for k, v in self._sources.items() if v is not None]
+        away = at.where(~F.coalesce(F.col("_source").isin(live), F.lit(False)))
+        out = away.withColumn("row_text", F.col("plain")).withColumn("text_status", F.lit("unavailable"))
+        for name in live:
+            out = out.unionByName(books.displayed(at.where(F.col("_source") == name), self._sources[name]))
+        return out.drop("_source", "book_id")
+
+    def _painted(self, rows: DataFrame, lines: DataFrame, h: Hits, args: dict) -> DataFrame:
+        bare = [{re.sub(f"[{T.MARKS}]", "", t) for t in e.terms} for e in h.words]
+        words = [frozenset(b) | frozenset(re.sub("['\"]", "", t) for t in b) for b in bare]
         n = len(words)
         flat = args.get("scope", WORD_DISTANCE) != WORD_DISTANCE or args.get("word_match_mode", ALL) != ALL or "max_distance" in args
         gaps = None if flat else resolve_gaps(n, args.get("distance", args.get("slop", 0)), args.get("custom_spacing"))
         paint = display.Paint(words, gaps)
         if args.get("any_order") and not args.get("custom_spacing"):
             paint = display.Paint(words, None, (n - 1) * (args.get("distance", 0) + 1))
-        nxt = self.corpus().lines.select((F.col("id") - 1).alias("id"), F.col("plain").alias("_next"))
-        both = rows.join(nxt, "id", "left").withColumn("_next", F.when(F.col("crosses"), F.col("_next")))
-        return both.withColumn("text", display.joined_snippets(paint)("plain", "_next")).drop("_next").withColumn("continues_to_next_line", F.col("crosses"))
+        nxt = lines.select((F.col("id") - 1).alias("id"), F.col("plain").alias("_next"))
+        both = rows.join(F.broadcast(nxt), "id", "left").withColumn("_next", F.when(F.col("crosses"), F.col("_next")))
+        text = display.page_snippets(paint)("plain", "_next", F.coalesce("vocalized", "plain"), F.coalesce("is_pdf", F.lit(False)))
+        return both.withColumn("text", text).drop("_next").withColumn("continues_to_next_line", F.col("crosses"))
 
     def count(self, family: str, query, facets: Sequence[str] = (), **args) -> int:
         return self._run(family, query, facets, **args).rows.count()
@@ -434,77 +525,132 @@ class SearchEngine:
 
     # -- semantic search -------------------------------------------------------------------------------------------------------------
 
-    def install_semantic_vectors(self, vectors_: DataFrame, delta: bool = False, tombstones: DataFrame | None = None) -> None:
-        """A vector set (key, embedding), or a delta over the one that is installed; the one before can be gone back to."""
-        new = vectors.with_delta(self._vectors[-1], vectors_, tombstones) if delta and self._vectors else vectors_
-        self._vectors = [*self._vectors[-1:], new]
+    def install_semantic_vectors(self, vectors_: DataFrame, delta: bool = False, tombstones: DataFrame | None = None) -> int:
+        """Store a vector set (key, embedding), or a delta over the one that is installed: its keys replace those of the set,
+        ``tombstones`` (key) remove some. Of rows that repeat a key one counts. Returns the version; the set before stays and
+        can be gone back to."""
+        rows = vectors_.select(F.lower("key").alias("key"), F.col("embedding").cast("array<double>").alias("embedding")).where("key IS NOT NULL").dropDuplicates(["key"])
+        if not (delta and self._has_vectors()):
+            return self._vector_sets.commit(rows, replace=True, meta={"on": True})
+        gone = rows.select("key") if tombstones is None else rows.select("key").unionByName(tombstones.select(F.lower("key").alias("key")))
+        return self._vector_sets.commit(rows, gone, meta={"on": True})
+
+    def _has_vectors(self) -> bool:
+        m = self._vector_sets.manifest()
+        return bool(m.meta.get("on") and m.files)
+
+    def _vectors(self) -> DataFrame:
+        if not self._has_vectors():
+            raise vectors.SearchError("notConfigured", "no vectors are installed")
+        return self._vector_sets.read()
 
-    def compact_semantic_vectors(self) -> None:
-        from quire.session import cut
+    def compact_semantic_vectors(self) -> int:
+        """Rewrite the set without its deltas."""
+        return self._vector_sets.commit(self._vectors(), rewrite=True)
 
-        if self._vectors:
-            self._vectors[-1] = cut(self._vectors[-1])
+    def restore_semantic_generation(self, version: int | None = None) -> int:
+        """Go back to an earlier set, by default the one before the latest; as a new version, nothing is lost."""
+        now = self._vector_sets.manifest()
+        back = self._vector_sets.manifest(now.version - 1 if version is None else version)
+        return self._vector_sets.publish(replace(back, version=now.version + 1, rewrites=now.rewrites, replaced=[*now.replaced, now.version + 1]))
 
-    def retire_previous_semantic_generation(self) -> None:
-        self._vectors = self._vectors[-1:]
+    def retire_previous_semantic_generation(self) -> int:
+        """Delete the stored files that only earlier sets need; they can't be gone back to any more. Returns how many."""
+        return self._vector_sets.vacuum()
 
     def disable_semantic(self) -> None:
-        self._vectors = []
+        """Switch semantic search off; the stored set stays."""
+        if self._has_vectors():
+            self._vector_sets.commit(meta={"on": False})
+
+    def enable_semantic(self) -> None:
+        if self._vector_sets.manifest().files:
+            self._vector_sets.commit(meta={"on": True})
 
-    reset_semantic_index = disable_semantic
+    def reset_semantic_index(self) -> None:
+        """Remove all vectors."""
+        self._vector_sets.commit(replace=True, meta={"on": False})
 
     def semantic_vectors_info(self) -> DataFrame | None:
-        return vectors.info(self._vectors[-1]) if self._vectors else None
+        return vectors.info(self._vectors()) if self._has_vectors() else None
 
     def verify_semantic_vectors(self, checksum: int) -> bool:
         info = self.semantic_vectors_info()
         return info is not None and info.first().checksum == checksum
 
     def semantic_status(self) -> str:
-        return "ready" if self._vectors else "notConfigured"
+        return "ready" if self._has_vectors() else "notConfigured"
 
     def semantic_coverage(self, keys: DataFrame) -> DataFrame:
         """Per book: lines with a text key (id, file_path, key), and those with a vector."""
-        if not self._vectors:
-            raise vectors.SearchError("notConfigured", "no vectors are installed")
-        return vectors.coverage(keys, self._vectors[-1])
+        return vectors.coverage(keys, self._vectors())
 
     def semantic_index_diff(self, keys: DataFrame) -> DataFrame:
         """Keys to embed (``added``) and vectors nothing refers to any more (``removed``)."""
-        have = self._vectors[-1].select("key").distinct()
+        have = self._vectors().select("key").distinct()
         return difference(have.withColumn("v", F.lit(1)), keys.select("key").where("key IS NOT NULL").distinct().withColumn("v", F.lit(1)), "key", "v")
 
     def remove_semantic_books(self, keys: DataFrame, file_paths: Sequence[str]) -> None:
         """Drop the vectors whose key stands only in these books."""
         gone = keys.where(F.col("file_path").isin(list(file_paths))).select("key").join(keys.where(~F.col("file_path").isin(list(file_paths))).select("key"), "key", "left_anti")
-        self._vectors[-1] = self._vectors[-1].join(gone.distinct(), "key", "left_anti")
+        self._vector_sets.commit(deleted_keys=gone.distinct())
 
     def search_semantic(
         self, query: str, vector: Sequence[float] | None, keys: DataFrame, facets: Sequence[str] = (), limit: int = 100, offset: int = 0, mode: str = vectors.HYBRID, ranking: vectors.Ranking | None = None, lexical: str = "exact", candidates: int = 1000,
     ) -> tuple[DataFrame, str | None]:
         """Fused rows and, if the semantic half is missing, the reason; a purely semantic search then is an error."""
-        r = ranking or vectors.Ranking()
-        reason = None if self._vectors and vector is not None else "notConfigured"
+        fused, reason = self._fused(query, vector, keys, facets, mode, ranking or vectors.Ranking(), lexical, candidates)
+        shown = fused.orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
+        return shown.join(self.corpus().lines.select("id", "file_path", "plain"), "id").orderBy(F.col("score").desc(), "id"), reason
+
+    def _fused(self, query: str, vector: Sequence[float] | None, keys: DataFrame, facets: Sequence[str], mode: str, r: vectors.Ranking, lexical: str, candidates: int) -> tuple[DataFrame, str | None]:
+        """The fused ranking of at most ``candidates`` rows of each half. Where foundational books get a bonus, a second search
+        among their vectors alone adds candidates, so that the bonus can reach rows that all books' vectors would push out."""
+        reason = None if self._has_vectors() and vector is not None else "notConfigured"
         if mode == vectors.SEMANTIC_ONLY and reason:
             raise vectors.SearchError(reason, "semantic search is not available")
-        lines = self.corpus().lines
+        lines = self.corpus().wide()
         where = facet_filter(list(facets))
         if where is not None:
             lines = lines.where(where)
-        empty = self.spark.createDataFrame([], "id bigint, score double")
-        lex = sem = empty
+        base = lines.where(F.exists("facets", lambda f: (f == "/base") | f.startswith("/base/"))) if r.foundational_bonus else None
+        lex = sem = self.spark.createDataFrame([], "id bigint, score double")
         if mode != vectors.SEMANTIC_ONLY:
             h = self._run("exact" if query.strip()[:1] == '"' else lexical, query, facets, True)
             lex = page(h.rows, RELEVANCE, candidates).select("id", "score")
         if mode != vectors.LEXICAL_ONLY and not reason:
-            live = lines.join(keys.select("id", "key"), "id")
-            wanted = self._vectors[-1] if where is None else self._vectors[-1].join(live.select("key").distinct(), "key", "left_semi")
+            have, at = self._vectors(), keys.select("id", F.lower("key").alias("key"))
+            live = lines.join(at, "id")
+            wanted = have if where is None else have.join(live.select("key").distinct(), "key", "left_semi")
             near = vectors.knn(wanted, vector, candidates, threshold=r.threshold)
+            if base is not None:
+                own = have.join(base.select("id").join(at, "id").select("key").distinct(), "key", "left_semi")
+                near = near.unionByName(vectors.knn(own, vector, max(1, int(candidates * vectors.FOUNDATIONAL_SHARE)), threshold=r.threshold)).distinct()
             sem = vectors.resolve(near, live.select("id", "file_path", "key")).select("id", F.col("similarity").alias("score"))
-        base = lines.where(F.exists("facets", lambda f: f.startswith("/base"))).select("id") if r.foundational_bonus else None
-        fused = vectors.fuse(lex, sem, r, query, base)
-        shown = fused.orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
-        return shown.join(self.corpus().lines.select("id", "file_path", "plain"), "id").orderBy(F.col("score").desc(), "id"), reason
+        return vectors.fuse(lex, sem, r, query, base.select("id") if base is not None else None), reason
+
+    def semantic_session(self, query: str, vector: Sequence[float] | None, keys: DataFrame, facets: Sequence[str] = (), mode: str = vectors.HYBRID, ranking: vectors.Ranking | None = None, lexical: str = "exact", candidates: int = 1000, grouping: str | None = None) -> SemanticSession:
+        """The fused ranking frozen, so that its pages continue one order; grouped like lexical results if asked. A session of
+        the same query is taken up again while the content is the same; else a new one says that it starts anew."""
+        r = ranking or vectors.Ranking()
+        key = (query, tuple(vector or ()), _frozen(keys), tuple(facets), mode, _frozen(vars(r)), lexical, candidates, grouping)
+        now = (self.search_snapshot(), self._vector_sets.latest())
+        held = self._sessions.get(key)
+        if held is None or held.state != now:
+            fused, reason = self._fused(query, vector, keys, facets, mode, r, lexical, candidates)
+            rows = fused.select("id", "score", "source")
+            if grouping:
+                c = self.corpus()
+                rows = both_rows(c, rows.withColumn("tier", F.lit(0)).withColumn("span", F.lit(None).cast("int")))
+                rows = grouped(attached(c, rows, "line_hash"), grouping, RELEVANCE)
+            else:
+                rows = rows.withColumn("merged_count", F.lit(1).cast("long")).withColumn("siblings", F.array().cast("array<bigint>"))
+            ranked = rows.select("id", "score", "source", "merged_count", "siblings").orderBy(F.col("score").desc(), "id").collect()  # at most two lists of candidates
+            held = SemanticSession(self, now, ranked, reason, held is not None)
+            self._sessions[key] = held
+            while len(self._sessions) > WINDOWS:
+                self._sessions.popitem(last=False)
+        return held
 
     def semantic_covered_books(self, keys: DataFrame) -> DataFrame:
         """Books with at least one line whose key has a vector."""
@@ -512,7 +658,7 @@ class SearchEngine:
 
     def semantic_index_books(self, vectors_: DataFrame) -> None:
         """Add the vectors of some books to the installed set."""
-        self.install_semantic_vectors(vectors_, delta=bool(self._vectors))
+        self.install_semantic_vectors(vectors_, delta=self._has_vectors())
 
     def open_semantic_artifact(self, path: str) -> None:
         """Install a stored vector set (key, embedding)."""
@@ -537,14 +683,12 @@ class SearchEngine:
 
     def generate_index_highlight_pattern(self, family: str, query, **args) -> list[list[str]]:
         """The terms that matched, word by word; forms on the blacklist are left out."""
-        words = [sorted(e.terms) for e in self._run(family, query, **args).words]
+        found = self._run(family, query, **args).words
         if self._blacklist is None:
-            return words
-        out = []
-        for e in self._run(family, query, **args).words:
-            forms = self.spark.createDataFrame([(e.word, t) for t in e.terms], "word string, form string") if e.terms else None
-            out.append(sorted(r.form for r in lexicons.without_blacklisted(forms, self._blacklist).collect()) if forms is not None else [])
-        return out
+            return [sorted(e.terms) for e in found]
+        pairs = self.spark.createDataFrame([(i, e.word, t) for i, e in enumerate(found) for t in e.terms], "at int, word string, form string")
+        kept = lexicons.without_blacklisted(pairs, self._blacklist).collect()
+        return [sorted(r.form for r in kept if r.at == i) for i in range(len(found))]
 
 
 def _named(family: str, suffix: str) -> None:
@@ -597,6 +741,58 @@ for _family, _suffix in (("exact", "exact"), ("fuzzy", "fuzzy"), ("advanced", "a
     _named(_family, _suffix)
 
 
+#: Ranked rows a query keeps for its next pages, and queries that are kept.
+WINDOW, WINDOWS = 20_000, 16
+#: Up to so many ids are looked up as a list of values, more by a join.
+LISTED = 2_000
+
+
+@dataclass
+class _Ranked:
+    """What pages of one query share: its hits, the first of them in order, and the numbers of hits, groups and rows."""
+
+    hits: Hits
+    window: list
+    total: int
+    groups: int | None
+    all: int
+
+
+def _frozen(x):
+    """A value that can be a key."""
+    if isinstance(x, dict):
+        return tuple(sorted((str(k), _frozen(v)) for k, v in x.items()))
+    if isinstance(x, (list, tuple)):
+        return tuple(map(_frozen, x))
+    return id(x) if isinstance(x, DataFrame) else x
+
+
+def _with_sections(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("section_id", F.col("id").bitwiseAND(F.lit(SECTION_MASK)) + F.coalesce("section_ordinal", F.lit(0)))
+
+
+def _tokenized(lines: DataFrame) -> DataFrame:
+    return with_tokens(_with_sections(lines))
+
+
+def _by_ids(lines: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The lines with these ids. A list reaches the scan as a filter, which skips files and row groups of other ids; a long
+    one does by its range."""
+    every = sorted(set(ids))
+    if len(every) <= LISTED:
+        return lines.where(F.col("id").isin(every) if every else F.lit(False))
+    at = lines.sparkSession.createDataFrame([(i,) for i in every], "id long")
+    return lines.where(F.col("id").between(every[0], every[-1])).join(F.broadcast(at) if len(every) <= BROADCAST_ROWS else at, "id", "left_semi")
+
+
+def both_rows(c: Corpus, best: DataFrame) -> DataFrame:
+    """Ids with the columns of their books."""
+    if c.books is None:
+        return c.lines.join(best, "id")
+    at = best.withColumn("book_no", book_number(F.col("id"))).withColumn("ordinal", (F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int"))
+    return attached(c, at.join(c.books, "book_no", "left"), "section_id")
+
+
 def _final_class(c: str) -> str:
     from quire.functions.words import FINALS
 
@@ -606,8 +802,6 @@ def _final_class(c: str) -> str:
 
 def _aliased(word: str) -> WordPlan:
     """A word of a smart search; a name written with a placeholder letter also matches its canonical spelling."""
-    import re
-
     m = re.fullmatch(r"([א-ת]{0,2})י[קד]ו[קד]", word)
     p = plan_word(word)
     if m:
@@ -617,8 +811,6 @@ def _aliased(word: str) -> WordPlan:
 
 def quoted(query: str) -> tuple[list[list[str]], list[str]]:
     """Phrases in double quotes, and the other words. Quotes inside a word quote nothing, an unpaired one is ignored."""
-    import re
-
     q = query.translate(T._QUOTES)
     phrases, at, rest = [], 0, []
     for m in re.finditer(r'(?<![^\s(])"([^"]*?(?:[^\W]"[^\W][^"]*?)*)"(?![^\W])', q):

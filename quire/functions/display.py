@@ -11,12 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quire.functions.text import COMBINING, INVISIBLE, MARKS, _PY_TOKEN, _QUOTES
-from quire.functions.words import WordOptions, WordPlan, any_order_span, options_at, plan_word, resolve_gaps, split_words
+from quire.functions.words import WordPlan, any_order_span, options_at, plan_word, resolve_gaps, split_words
 
 OPEN, CLOSE, LENGTH = "<font color=red>", "</font>", 800
 SEAM = "<br>"
@@ -133,39 +132,58 @@ def snippets(p: Paint, length: int = LENGTH):
     return run
 
 
-def joined_snippets(p: Paint, length: int = LENGTH):
-    """A pandas UDF over (line, next line): two lines joined by a break, the phrase painted over the seam."""
+def vocalize_snippet(plain_html: str, marked: str, plain: str | None = None, open_: str = OPEN, close: str = CLOSE) -> str:
+    """A painted snippet of a plain text carried over to the text with its marks: the same letters are shown and painted.
 
-    @F.pandas_udf(StringType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else snippet_html(x, p, length) if y is None else snippet_html(f"{x}\n{y}", p, length).replace("\n", SEAM) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return run
-
-
-def vocalize_snippet(plain_html: str, marked: str, open_: str = OPEN, close: str = CLOSE) -> str:
-    """A painted snippet of a plain text carried over to the text with its marks: the n-th painted letters are painted there."""
-    letters, painted, on = 0, set(), False
+    ``plain`` is the whole text that the snippet was cropped from; it tells at which letter the snippet begins (without it,
+    at the first). A snippet that isn't found in it, or a text whose letters differ, is returned as it is.
+    """
+    letters, painted, on = [], set(), False
     for part in re.split(f"({re.escape(open_)}|{re.escape(close)})", plain_html):
         if part in (open_, close):
             on = part == open_
             continue
         for c in html.unescape(part):
             if on:
-                painted.add(letters)
-            letters += 1
-    out, n, on = [], 0, False
+                painted.add(len(letters))
+            letters.append(c)
+    shown = "".join(letters)
     is_mark = re.compile(f"[{MARKS}]").match
+    begin = (plain if plain is not None else shown).find(shown)
+    if begin < 0 or (plain is not None and "".join(c for c in marked if not is_mark(c)) != plain):
+        return plain_html
+    out, n, on = [], -1, False
     for c in marked:
-        if not is_mark(c):
-            if (n in painted) != on:
-                out.append(close if on else open_)
-                on = not on
-            n += 1
+        n += not is_mark(c)
+        if not begin <= n < begin + len(shown):
+            continue
+        if not is_mark(c) and (n - begin in painted) != on:
+            out.append(close if on else open_)
+            on = not on
         out.append(html.escape(c, quote=False))
     return "".join(out) + (close if on else "")
 
 
+def page_snippets(p: Paint, length: int = LENGTH):
+    """A pandas UDF over (line, next line, line with marks, whether it is a scanned page): the snippet of each. Two lines are
+    joined by a break and painted over the seam, long pages come as several stretches, other lines show their marks. A null
+    line stays null."""
+
+    def one(a: str | None, b: str | None, voc: str | None, scanned: bool) -> str | None:
+        if a is None:
+            return None
+        if b is not None:
+            return snippet_html(f"{a}\n{b}", p, length).replace("\n", SEAM)
+        out = page_snippet_html(a, p, length) if scanned else snippet_html(a, p, length)
+        return vocalize_snippet(out, voc, a) if voc is not None and voc != a and JOINER not in out else out
+
+    @F.pandas_udf(StringType())
+    def run(a: pd.Series, b: pd.Series, voc: pd.Series, scanned: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(a, b, voc, scanned, strict=True)], dtype=object)
+
+    return run
+
+
 @dataclass
 class HighlightPattern:
     """What a display needs to find a query in any text: a pattern for each word, and how words may lie to each other."""
@@ -337,12 +355,3 @@ def canonical_marks(text: str) -> str:
 def canonical_order(s: pd.Series) -> pd.Series:
     """canonical_marks of a column; null stays null."""
     return s.map(canonical_marks, na_action="ignore")
-
-
-def painted(c: Column, p: Paint) -> Column:
-    """The snippet of a text column."""
-    return snippets(p)(c)
-
-
-def options_of(**on: bool) -> WordOptions:
-    return WordOptions(**on)

@@ -1,8 +1,8 @@
 """Lines of books as rows, and what is derived from them: tokens with positions, sections, edges, terms, postings.
 
 ``Corpus.lines`` has one row per line: id, file_path, book_no, ordinal, segment, section_id, title, reference, is_pdf,
-facets, plain, vocalized, tokens, pos, first, last, line_hash. A line's tokens stay in its row, so most searches are one
-scan without a shuffle; the inverted form (``postings``) is for stored corpora, where a term's bucket is all that is read.
+facets, plain, vocalized, tokens, pos, first, last, line_hash. A stored corpus has its inverted form besides (``postings``),
+sorted by term: a search reads the row groups of its terms and no line; lines are looked up by id for what is displayed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.hashes import line_hash
 from quire.session import small
 
 BOOK_SHIFT = 32
@@ -99,39 +98,90 @@ def with_edges(lines: DataFrame, plain: str = "plain") -> DataFrame:
     return out.withColumn("first", first).withColumn("last", last).drop("_inner", "_before", "_cut")
 
 
+TERM = "term string, bare string, df bigint"
+POSTING = "id bigint, term string, p int, dl int, first int, last int, section_id bigint"
+
+
+def postings_of(lines: DataFrame) -> DataFrame:
+    """(POSTING): one row for each place of a term, with what a search needs to know of its line. No shuffle."""
+    each = F.explode(F.arrays_zip(F.col("tokens").alias("t"), F.col("pos").alias("p"))).alias("x")
+    rows = lines.select("id", "first", "last", "section_id", F.size("tokens").alias("dl"), each)
+    return rows.select("id", F.col("x.t").alias("term"), F.col("x.p").alias("p"), "dl", "first", "last", "section_id")
+
+
+def counts_of(lines: DataFrame, sign: int = 1) -> DataFrame:
+    """(TERM): in how many lines each term stands. Only terms are shuffled, counted within tasks first."""
+    each = lines.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return each.groupBy("term").agg((F.count("*") * sign).alias("df")).select("term", T.bare(F.col("term")).alias("bare"), "df")
+
+
+def clustered(postings: DataFrame) -> DataFrame:
+    """Postings in the order they are stored in: by range of term and line, so that the statistics of a file tell which
+    terms it can hold, and a term that fills a third of the rows lies in many files."""
+    return postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
 @dataclass
 class Corpus:
-    """The lines, and optionally stored postings that narrow a search before lines are read."""
+    """The lines, and for a stored corpus its postings, its counted terms (dictionary), its books with their facets and
+    orders, and the number and mean length of its lines. With postings a search never scans the lines."""
 
     lines: DataFrame
     stored: DataFrame | None = None
+    dictionary: DataFrame | None = None
+    books: DataFrame | None = None
+    size: tuple[int, float] | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.lines.sparkSession
 
-    def postings(self, tokens: str = "tokens", pos: str = "pos") -> DataFrame:
-        """(term, id, positions, tf), made within each row: no shuffle."""
-        if self.stored is not None:
-            return self.stored
-        places = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.transform(F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col(pos).alias("p")), lambda x: x["t"] == t), lambda x: x["p"]).alias("positions")))
-        return self.lines.select("id", F.explode(places).alias("x")).select("x.term", "id", "x.positions", F.size("x.positions").alias("tf"))
+    def postings(self) -> DataFrame:
+        """(POSTING) of every line."""
+        return self.stored if self.stored is not None else postings_of(self.lines)
 
     def terms(self) -> DataFrame:
-        """(term, bare, len, df) of every term of the dictionary. Only terms are shuffled, counted within tasks first."""
-        each = self.stored.select("term") if self.stored is not None else self.lines.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        return each.groupBy("term").agg(F.count("*").alias("df")).select("term", T.bare(F.col("term")).alias("bare"), F.length("term").alias("len"), "df")
-
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Store lines by book and postings by bucket of their term."""
-        self.lines.write.mode("errorifexists").parquet(f"{path}/lines")
-        posted = self.postings().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        # salted by id, so that the bucket of a frequent term is written by several tasks
-        posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        """(term, bare, len, df) of every term of the dictionary; counts of several commits are summed up."""
+        each = self.dictionary if self.dictionary is not None else counts_of(self.lines)
+        return each.groupBy("term", "bare").agg(F.sum("df").alias("df")).where("df > 0").select("term", "bare", F.length("term").alias("len"), "df")
+
+    def wide(self) -> DataFrame:
+        """The lines with the columns of their books."""
+        if self.books is None:
+            return self.lines
+        mine = self.lines.drop(*(c for c in self.books.columns if c in self.lines.columns and c != "book_no"))
+        if "book_no" not in mine.columns:
+            mine = mine.withColumn("book_no", book_number(F.col("id")))
+        return mine.join(self.books, "book_no", "left")
+
+    def write(self, path: str) -> None:
+        """Store the lines by id, their postings by term, the counted terms, and the books."""
+        self.lines.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/lines")
+        lines = self.spark.read.parquet(f"{path}/lines")
+        clustered(postings_of(lines)).write.parquet(f"{path}/postings")
+        counts_of(lines).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        (self.books if self.books is not None else books_of(lines)).write.parquet(f"{path}/books")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/postings"))
+        lines, postings, terms, books = (spark.read.parquet(f"{path}/{x}") for x in ("lines", "postings", "terms", "books"))
+        return Corpus(lines, postings, terms, small(books), size_of(lines))
+
+
+def books_of(lines: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(book_no, file_path, title, facets, catalogue_order, generation_order): the columns that are the same for all lines of
+    a book. Facets that lines of a book have differently are joined."""
+    number = book_number(F.col("id")).alias("book_no")
+    have = lambda c, kind: F.col(c) if c in lines.columns else F.lit(None).cast(kind)
+    rows = lines.select(number, "file_path", have("title", "string").alias("title"), F.explode_outer(have("facets", "array<string>")).alias("f"))
+    per = rows.groupBy("book_no").agg(F.min("file_path").alias("file_path"), F.min("title").alias("title"), F.array_sort(F.collect_set("f")).alias("facets"))
+    return with_order(per, order)
+
+
+def size_of(lines: DataFrame) -> tuple[int, float]:
+    """Number of lines and their mean length in tokens."""
+    n, mean = lines.agg(F.count("*"), F.avg("dl" if "dl" in lines.columns else F.size("tokens"))).first()
+    return n, mean or 1.0
 
 
 def build(documents: DataFrame, vocalized: bool = False) -> Corpus:
@@ -156,11 +206,6 @@ def build(documents: DataFrame, vocalized: bool = False) -> Corpus:
     return Corpus(d.withColumn("book_no", book_number(F.col("id"))))
 
 
-def with_line_hash(c: Corpus) -> Corpus:
-    """Adds the signature by which identical lines are merged."""
-    return Corpus(c.lines.withColumn("line_hash", line_hash(F.col("plain"))), c.stored)
-
-
 def with_order(lines: DataFrame, order: DataFrame | None) -> DataFrame:
     """Adds catalogue_order and generation_order by book; of repeated rows of the mapping the smallest count."""
     if order is None:

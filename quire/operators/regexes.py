@@ -17,7 +17,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from quire.functions import text as T
 from quire.functions.words import EXACT, Branch, WordPlan, is_plain_word
 from quire.operators.corpus import Corpus
-from quire.operators.search import CATALOGUE, Hits, Query, facet_filter, order_keys, search
+from quire.operators.expand import Expansion
+from quire.operators.search import CATALOGUE, Hits, Query, facet_filter, from_postings, order_keys, search
 from quire.session import cut
 
 MAX_CHARS = 300
@@ -157,12 +158,15 @@ def matched(c: Corpus, raw: str, facets: list[str] | None = None, terms: DataFra
         q = plan(r)
         q.facets = facets or []
         return search(c, q, terms)
-    rows = c.lines
+    rows = c.wide()
     where = facet_filter(facets or [])
     if where is not None:
         rows = rows.where(where)
-    for w in r.words:
-        rows = rows.where(F.array_contains("tokens", w))
+    if r.words and c.stored is not None:  # lines without these words are never read for their text
+        holds = from_postings(c, [Expansion(w, {w: (EXACT, 0)}) for w in r.words]).where(" AND ".join(f"size(w{i}) > 0" for i in range(len(r.words))))
+        rows = rows.join(holds.select("id"), "id", "left_semi")
+    elif r.words:
+        rows = rows.where(F.forall(F.array(*map(F.lit, r.words)), lambda w: F.array_contains("tokens", w)))
     folded = T.foldable(F.col("plain"))
     pattern = line_pattern(r)
     hit = folded.rlike(pattern)

@@ -1,9 +1,9 @@
 """Boolean and positional matching over the lines, and the ranking of what matched.
 
-A query's words are expanded to sets of terms first (at most a few thousand each). The scan then marks, in each line, the
-places where a term of word i stands: ``w0``, ``w1``, ... are arrays of positions. Phrases, gaps and windows are decided on
-these arrays inside the row, so a search over one line at a time has no shuffle at all; sections add one aggregation by
-section, phrases over a line break one equi-join on the next id.
+A query's words are expanded to sets of terms first (at most a few thousand each). Then the places where a term of word i
+stands in a line become arrays of positions, ``w0``, ``w1``, ... A stored corpus gives them from the postings of these terms
+alone, by one aggregation by line; a corpus without postings is scanned. Phrases, gaps and windows are decided on the arrays
+inside the row; sections add one aggregation by section, phrases over a line break one equi-join on the next id.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from quire.functions.words import EXACT, MAX_TERMS_PHRASE, WordPlan, any_order_span
-from quire.operators.corpus import Corpus
+from quire.functions import text as T
+from quire.functions.words import EXACT, MAX_TERMS_PHRASE, OTHER, WordPlan, any_order_span, plan_word
+from quire.operators.corpus import Corpus, book_number
 from quire.operators.expand import Expansion, expand
+from quire.session import cut
 
 WORD_DISTANCE, SAME_PARAGRAPH, SAME_SECTION = "wordDistance", "sameParagraph", "sameSection"
 ALL, ANY, MOST, AT_LEAST = "all", "any", "most", "atLeast"
@@ -87,18 +89,33 @@ def facet_filter(paths: list[str], column: str = "facets") -> Column | None:
     return reduce(lambda a, b: a & b, [one(ps) for ps in by.values()])
 
 
+def attached(c: Corpus, hits: DataFrame, *columns: str) -> DataFrame:
+    """Hits with columns of their lines that the postings don't have: an equi-join by id over just these columns."""
+    missing = [x for x in columns if x not in hits.columns]
+    return hits.join(c.lines.select("id", *missing), "id") if missing else hits
+
+
+def next_lines(c: Corpus, hits: DataFrame) -> DataFrame:
+    """The lines that follow hits in their books; a line's id is one more than that of the line before it."""
+    return c.lines.join(hits.select((F.col("id") + 1).alias("id")), "id", "left_semi")
+
+
 def facet_counts(hits: DataFrame, prefix: str = "/") -> DataFrame:
     """(path, count): the hits below each direct child of ``prefix``. A hit counts once a child."""
     depth = len([x for x in prefix.split("/") if x])
     base = "/" + "/".join(x for x in prefix.split("/") if x)
     below = F.filter("facets", lambda f: f.startswith(base if base == "/" else base + "/"))
-    child = F.transform(below, lambda f: F.concat(F.lit("/"), F.array_join(F.slice(F.split(F.substring(f, 2, 100_000), "/"), 1, depth + 1), "/")))
+    child = F.transform(below, lambda f: F.concat(F.lit("/"), F.array_join(F.slice(F.split(F.regexp_replace(f, "^/", ""), "/"), 1, depth + 1), "/")))
     return hits.select("id", F.explode(F.array_distinct(child)).alias("path")).groupBy("path").agg(F.count_distinct("id").alias("count"))
 
 
 # -- matching ------------------------------------------------------------------------------------------------------------
 
 
+def among(c: Column, values: list) -> Column:
+    return c.isin(values) if values else F.lit(False)
+
+
 def places(e: Expansion, tokens: str, pos: str) -> Column:
     """Where a word's terms stand in a line."""
     terms = list(e.terms)
@@ -108,41 +125,57 @@ def places(e: Expansion, tokens: str, pos: str) -> Column:
     return F.array_distinct(F.transform(F.filter(pairs, lambda x: x["t"].isin(terms)), lambda x: x["p"]))
 
 
-def _holds(tokens: str, terms: list[str]) -> Column:
-    return F.exists(tokens, lambda t: t.isin(terms))
+def tier_of(term: Column, e: Expansion) -> Column:
+    """The tier of a term of a word, null for other terms."""
+    out = F.lit(None).cast("int")
+    for k in sorted({tier for tier, _ in e.terms.values()}, reverse=True):
+        out = F.when(among(term, [t for t, (tier, _) in e.terms.items() if tier == k]), F.lit(k)).otherwise(out)
+    return out
+
+
+def _tiers_of(e: Expansion):
+    return lambda term: tier_of(term, e)
+
+
+def _worst(tiers: list[Column]) -> Column:
+    """The tier of a line: that of its word farthest from what was typed; words it lacks count as farthest."""
+    each = [F.coalesce(t, F.lit(OTHER)) for t in tiers]
+    return F.greatest(*each) if len(each) > 1 else each[0] if each else F.lit(OTHER)
+
+
+def from_postings(c: Corpus, found: list[Expansion]) -> DataFrame:
+    """One row per line that holds a term of any word: id, book columns, dl, first, last, section_id, w0, w1, ..., tier.
+
+    Only postings of the terms are read: the filter reaches the scan, and files and row groups of other terms are skipped.
+    The shuffle by line moves these postings and nothing else; a line's places are bounded by its length.
+    """
+    every = sorted({t for e in found for t in e.terms})
+    hits = c.stored.where(among(F.col("term"), every))
+    at = lambda e: F.when(among(F.col("term"), list(e.terms)), F.col("p"))
+    per = hits.groupBy("id").agg(
+        *(F.max(x).alias(x) for x in ("dl", "first", "last", "section_id")),
+        *(F.array_sort(F.collect_set(at(e))).alias(f"w{i}") for i, e in enumerate(found)),
+        *(F.min(tier_of(F.col("term"), e)).alias(f"t{i}") for i, e in enumerate(found)),
+    )
+    per = per.withColumn("tier", _worst([F.col(f"t{i}") for i in range(len(found))])).drop(*(f"t{i}" for i in range(len(found))))
+    per = per.withColumn("book_no", book_number(F.col("id"))).withColumn("ordinal", (F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int"))
+    return per.join(c.books, "book_no", "left")
 
 
 def marked(c: Corpus, q: Query, found: list[Expansion]) -> DataFrame:
     """The lines that hold a term of any word, with w0, w1, ... and ``tier``, facets applied."""
+    where = facet_filter(q.facets)
+    if c.stored is not None and not q.vocalized:
+        rows = from_postings(c, found)
+        return rows if where is None else rows.where(where)
     tokens, pos = ("voc_tokens", "voc_pos") if q.vocalized else ("tokens", "pos")
     every = sorted({t for e in found for t in e.terms})
-    if not every:
-        rows = c.lines.limit(0)
-    else:
-        rows = c.lines
-        if c.stored is not None and not q.vocalized:  # stored postings name the lines; their buckets are all that is read
-            ids = c.stored.where(F.col("term").isin(every) & F.col("bucket").isin(sorted(_buckets(c, every)))).select("id").distinct()
-            rows = rows.join(ids, "id", "left_semi")
-        rows = rows.where(_holds(tokens, every))
-    where = facet_filter(q.facets)
+    rows = c.lines.where(F.exists(tokens, lambda t: among(t, every)))
     if where is not None:
         rows = rows.where(where)
-    rows = rows.select("*", *(places(e, tokens, pos).alias(f"w{i}") for i, e in enumerate(found)))
-    tiers = []
-    for e in found:
-        best = F.lit(3)
-        for k in (2, 1, 0):
-            some = e.of_tier(k)
-            if some:
-                best = F.when(_holds(tokens, some), F.lit(k)).otherwise(best)
-        tiers.append(best)
-    return rows.withColumn("tier", F.greatest(*tiers) if len(tiers) > 1 else tiers[0] if tiers else F.lit(3))
-
-
-def _buckets(c: Corpus, terms: list[str]) -> set[int]:
-    n = c.stored.select(F.max("bucket")).first()[0] + 1
-    rows = c.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int"))
-    return {r[0] for r in rows.distinct().collect()}
+    rows = rows.select("*", *(places(e, tokens, pos).alias(f"w{i}") for i, e in enumerate(found)), F.size(tokens).alias("_dl"))
+    best = [F.array_min(F.transform(tokens, tiers)) for tiers in (_tiers_of(e) for e in found)]
+    return rows.withColumn("dl", F.col("_dl")).withColumn("tier", _worst(best)).drop("_dl")
 
 
 def has(i: int) -> Column:
@@ -197,6 +230,18 @@ def window_width(span: int):
     return width
 
 
+def least_window(words: list[Column], span: int) -> Column:
+    """The shortest window of at most ``span`` in which every word stands, null without one; for words that share no place,
+    which then all have a place of their own. From each place on, the next place of every word tells how far it reaches."""
+    starts = F.array_distinct(F.concat(*words))
+    reach = F.transform(starts, lambda p: F.array_max(F.transform(F.array(*words), lambda w: F.coalesce(F.array_min(F.filter(w, lambda x: x >= p)), F.lit(_FAR)))) - p)
+    best = F.array_min(reach)
+    return F.when(best <= span, best)
+
+
+_FAR = 1 << 30
+
+
 def in_line(rows: DataFrame, q: Query) -> DataFrame:
     """The marked lines that match within themselves; adds ``span`` for windows in any order (else null)."""
     n = len(q.words)
@@ -210,7 +255,12 @@ def in_line(rows: DataFrame, q: Query) -> DataFrame:
     if n == 1 or q.scope != WORD_DISTANCE:
         return rows
     if q.any_order is not None:
-        return rows.withColumn("span", window_width(any_order_span(n, q.any_order))(F.array(*(F.col(f"w{i}") for i in range(n))))).where("span IS NOT NULL")
+        span, w = any_order_span(n, q.any_order), [F.col(f"w{i}") for i in range(n)]
+        own = reduce(lambda a, b: a & b, [~F.arrays_overlap(w[i], w[j]) for i in range(n) for j in range(i)])
+        apart = rows.where(own).withColumn("span", least_window(w, span))
+        # words that share a place (equal words, two readings at one place) are matched to places one by one in Python
+        shared = rows.where(~own).withColumn("span", window_width(span)(F.array(*w)))
+        return apart.unionByName(shared).where("span IS NOT NULL")
     return rows.where(F.size(chain([F.col(f"w{i}") for i in range(n)], q.gaps)) > 0)
 
 
@@ -223,9 +273,10 @@ def over_line_break(rows: DataFrame, q: Query) -> DataFrame:
     n = len(q.words)
     inside = rows.where("first IS NOT NULL AND NOT coalesce(is_heading, false)") if "is_heading" in rows.columns else rows.where("first IS NOT NULL")
     cut = [F.filter(f"w{i}", lambda p: (p >= F.col("first")) & (p <= F.col("last"))).alias(f"w{i}") for i in range(n)]
-    side = inside.select("id", "file_path", "first", "last", "tier", *cut)
-    right = side.select((F.col("id") - 1).alias("id"), F.col("file_path").alias("next_path"), F.col("first").alias("next_first"), F.col("tier").alias("next_tier"), *(F.col(f"w{i}").alias(f"n{i}") for i in range(n)))
-    both = side.where(has(0)).join(right, "id").where(F.col("file_path").eqNullSafe(F.col("next_path")) & (F.size(f"n{n - 1}") > 0))
+    side = inside.select("id", "first", "last", "tier", *cut)
+    right = side.select((F.col("id") - 1).alias("id"), F.col("first").alias("next_first"), F.col("tier").alias("next_tier"), *(F.col(f"w{i}").alias(f"n{i}") for i in range(n)))
+    # ids of one book follow each other; the first line of a book has no line before it under id - 1
+    both = side.where(has(0)).join(right.where(F.size(f"n{n - 1}") > 0), "id").where(book_number(F.col("id")) == book_number(F.col("id") + 1))
     joined = [F.concat(f"w{i}", F.transform(f"n{i}", lambda p: p + F.col("last") + 1 - F.col("next_first"))) for i in range(n)]
     joined[0] = F.col("w0")
     ends = chain(joined, q.gaps)
@@ -233,7 +284,9 @@ def over_line_break(rows: DataFrame, q: Query) -> DataFrame:
 
 
 def statistics(c: Corpus, vocalized: bool = False) -> tuple[int, float]:
-    """Number of lines and their mean length in tokens."""
+    """Number of lines and their mean length in tokens; a stored corpus knows them."""
+    if c.size is not None:
+        return c.size
     n, mean = c.lines.agg(F.count("*"), F.avg(F.size("voc_tokens" if vocalized else "tokens"))).first()
     return n, mean or 1.0
 
@@ -244,10 +297,9 @@ def idf(n: int, df: int) -> float:
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(found: list[Expansion], n: int, mean: float, vocalized: bool = False) -> Column:
+def bm25(found: list[Expansion], n: int, mean: float) -> Column:
     """BM25 over the words; a word's frequency in a line is the number of its places there."""
-    length = F.size("voc_tokens" if vocalized else "tokens")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
     parts = [F.lit(idf(n, min(e.df, n))) * F.size(f"w{i}") * F.lit(K1 + 1) / (F.size(f"w{i}") + norm) for i, e in enumerate(found)]
     return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
 
@@ -270,6 +322,7 @@ def search(c: Corpus, q: Query, terms: DataFrame | None = None, score: bool = Fa
     if not q.words:
         return Hits(_empty(c), False, [])
     if q.vocalized:
+        c = c if c.stored is None else _vocalized_part(c, q, terms)
         each = c.lines.select(F.explode(F.array_distinct("voc_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         dictionary = each.select("term", F.col("term").alias("bare"), F.length("term").alias("len"), "df")
         plans = [w if w.vocalized else _over_marks(w) for w in q.words]
@@ -280,7 +333,7 @@ def search(c: Corpus, q: Query, terms: DataFrame | None = None, score: bool = Fa
     rows = marked(c, q, found)
     if score:
         n, mean = statistics(c, q.vocalized)
-        rows = rows.withColumn("score", bm25(found, n, mean, q.vocalized))
+        rows = rows.withColumn("score", bm25(found, n, mean))
     else:
         rows = rows.withColumn("score", F.lit(0.0))
     if q.scope == SAME_SECTION:
@@ -299,6 +352,20 @@ def search(c: Corpus, q: Query, terms: DataFrame | None = None, score: bool = Fa
     return Hits(hits, truncated, found)
 
 
+def _vocalized_part(c: Corpus, q: Query, terms: DataFrame | None) -> Corpus:
+    """The lines that hold the plain form of any word, found by postings, with their vocalized tokens: all that a search by
+    marks has to look at. A word with marks can only stand where its letters do."""
+    plain = [plan_word(w.word) if w.vocalized else w for w in q.words]
+    rows = marked(c, Query(plain, facets=q.facets), expand(terms if terms is not None else c.terms(), plain, q.cap))
+    if q.mode == ALL and q.scope != SAME_SECTION:
+        rows = rows.where(reduce(lambda a, b: a & b, [has(i) for i in range(len(plain))]))
+    lines = c.wide().join(rows.select("id"), "id", "left_semi")
+    t = F.col("vocalized") if "vocalized" in lines.columns else F.col("plain")
+    x = T.placed_tokens(F.coalesce(t, F.col("plain")))
+    lines = lines.withColumn("_x", x).withColumn("voc_tokens", F.col("_x.t")).withColumn("voc_pos", F.col("_x.p")).drop("_x")
+    return Corpus(cut(lines), size=c.size)
+
+
 def _over_marks(w: WordPlan) -> WordPlan:
     """A plain word on the vocalized dictionary: any marks may stand in it."""
     from quire.functions.words import Branch, vocalized_pattern
@@ -308,7 +375,8 @@ def _over_marks(w: WordPlan) -> WordPlan:
 
 def _empty(c: Corpus) -> DataFrame:
     none = F.lit(None)
-    return c.lines.limit(0).select("*", none.cast("int").alias("tier"), none.cast("double").alias("score"), none.cast("int").alias("span"), none.cast("boolean").alias("crosses"))
+    rows = c.lines if c.stored is None else from_postings(c, []).drop("tier")
+    return rows.limit(0).select("*", none.cast("int").alias("tier"), none.cast("double").alias("score"), none.cast("int").alias("span"), none.cast("boolean").alias("crosses"))
 
 
 def _in_sections(rows: DataFrame, q: Query) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.incremental import committed_runs, live_records, pending_keys
-from quire.session import table
+from quire.operators.incremental import Delta, pending
+from quire.session import scratch_dir, table
 
 
 def window_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -14,16 +14,19 @@ def window_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "semantic_recipe_v4").select(F.explode("windows.key").alias("key"))
 
 
+def delta(spark: SparkSession, d: str) -> Delta:
+    """How the current lines differ from what the committed runs of the log have handed over."""
+    return pending(window_keys(spark, d), table(spark, d, "vector_record"), table(spark, d, "export_run"), scratch_dir(spark, "p3"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys (lower case) that still have to be processed."""
-    return pending_keys(window_keys(spark, d), table(spark, d, "vector_record"), table(spark, d, "export_run"))
+    return delta(spark, d).added
 
 
 def p3_obsolete(spark: SparkSession, d: str) -> DataFrame:
     """Keys handed over by a committed run whose text is gone from the lines: the removals of the same delta."""
-    live = live_records(table(spark, d, "vector_record"), committed_runs(table(spark, d, "export_run")))
-    now = window_keys(spark, d).select(F.lower("key").alias("key")).distinct()
-    return live.join(now, "key", "left_anti")
+    return delta(spark, d).removed
 
 
 QUERIES = {"p3_found": p3_found, "p3_obsolete": p3_obsolete}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quire-")
+        named = gone_at_exit(spark, tempfile.mkdtemp(prefix="quire-"))
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -48,8 +48,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= rows else df
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, for tables that one job writes and reads again."""
-    import uuid
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which the file system deletes when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
 
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, for tables that one job writes and reads again; it goes when the
+    application ends."""
+    return gone_at_exit(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")

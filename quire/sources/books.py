@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from quire.functions import text as T
 from quire.functions.hashes import content_hash, line_check, line_hash, metadata_hash, text_hash
-from quire.operators.corpus import book_number, document_id, facets_of, heading_level, number_books, with_sections
+from quire.operators.corpus import book_number, document_id, facets_of, heading_level, with_edges, with_sections, with_tokens
 from quire.session import small
 
 INDEXED, MISSING, UNAVAILABLE, FAILED, CANCELLED = "Indexed", "Missing", "Unavailable", "Failed", "Cancelled"
@@ -18,7 +18,7 @@ BOOK = "file_path string, title string, topics string, text string, extra_facets
 PAGE = "file_path string, title string, topics string, reference string, text string, page_index int"
 STORED = (
     "id bigint, file_path string, ordinal int, segment bigint, section_ordinal int, title string, topics string, reference string, is_pdf boolean, facets array<string>, "
-    "raw string, plain string, vocalized string, is_heading boolean, content_hash bigint, text_hash bigint, metadata_hash bigint, source_hash bigint"
+    "raw string, plain string, vocalized string, is_heading boolean, dl int, first int, last int, line_hash bigint, line_check bigint, content_hash bigint, text_hash bigint, metadata_hash bigint, source_hash bigint"
 )
 COLUMNS = [x.split()[0] for x in STORED.split(", ")]
 
@@ -107,12 +107,21 @@ def documents(rows: DataFrame) -> DataFrame:
     r = r.withColumn("raw", F.coalesce("text_vocalized", "text")).withColumn("facets", facets_of(F.col("topics"), F.col("extra_facets")))
     r = with_texts(r).withColumn("plain", T.normalize(F.coalesce("text", F.lit(""))))
     r = r.withColumn("metadata_hash", metadata_hash(F.col("title"), F.col("topics"), F.col("extra_facets")))
-    return r.withColumn("segment", F.coalesce("segment", F.col("ordinal").cast("long"))).withColumn("is_pdf", F.coalesce("is_pdf", F.lit(False)))
+    return r.withColumn("alone", F.lit(True)).withColumn("segment", F.coalesce("segment", F.col("ordinal").cast("long"))).withColumn("is_pdf", F.coalesce("is_pdf", F.lit(False)))
+
+
+def measured(lines: DataFrame) -> DataFrame:
+    """Adds what a search needs to know of a line besides its words: number of tokens, edges of its content (null for
+    headings and for single documents, which end phrases), the signature of its text, the check sum of its row."""
+    out = with_edges(with_tokens(lines))
+    open_ = ~F.coalesce(F.col("is_heading"), F.lit(False)) & ~(F.col("alone") if "alone" in lines.columns else F.lit(False))
+    out = out.withColumn("dl", F.size("tokens")).withColumn("first", F.when(open_, F.col("first"))).withColumn("last", F.when(open_, F.col("last")))
+    return out.withColumn("line_hash", line_hash(F.col("plain"))).withColumn("line_check", line_check(F.col("raw"))).drop("tokens", "pos")
 
 
 def with_ids(lines: DataFrame, numbers: DataFrame) -> DataFrame:
     """Gives lines their ids by the numbers of their books and brings them into the stored layout."""
-    out = lines.join(small(numbers), "file_path").withColumn("id", document_id(F.col("book_no"), F.col("ordinal")))
+    out = measured(lines).join(small(numbers), "file_path").withColumn("id", document_id(F.col("book_no"), F.col("ordinal")))
     have = set(out.columns)
     kinds = dict(x.split(None, 1) for x in STORED.split(", "))
     return out.select(*((F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS))
@@ -144,11 +153,14 @@ def displayed(hits: DataFrame, rows: DataFrame) -> DataFrame:
     with ``line_index`` = segment, else the segment-th by line_index. ``ok`` if it has the recorded CRC, or the recorded
     signature; ``stale`` if it has neither; ``unavailable`` if there is none (the stored text is shown).
     """
-    wanted = hits.select("book_id").distinct()
-    near = rows.join(wanted, "book_id", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("book_id").orderBy("line_index")) - 1)
-    by_index = near.select("book_id", F.col("line_index").cast("long").alias("segment"), F.col("content").alias("_a"))
+    at = hits.withColumn("_hit", F.monotonically_increasing_id())
+    by_index = rows.select("book_id", F.col("line_index").cast("long").alias("segment"), F.col("content").alias("_a"))
+    out = at.join(by_index.join(hits.select("book_id", "segment").distinct(), ["book_id", "segment"], "left_semi").groupBy("book_id", "segment").agg(F.min("_a").alias("_a"), F.lit(True).alias("_there")), ["book_id", "segment"], "left")
+    # only books with a hit that no index leads to are numbered through
+    lost = out.where("_there IS NULL").select("book_id").distinct()
+    near = rows.join(lost, "book_id", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("book_id").orderBy("line_index")) - 1)
     by_rank = near.select("book_id", F.col("nth").cast("long").alias("segment"), F.col("content").alias("_b"))
-    out = hits.join(by_index.dropDuplicates(["book_id", "segment"]), ["book_id", "segment"], "left").join(by_rank, ["book_id", "segment"], "left").withColumn("row_text", F.coalesce("_a", "_b"))
+    out = out.join(by_rank, ["book_id", "segment"], "left").withColumn("row_text", F.when(F.col("_there"), F.col("_a")).otherwise(F.col("_b"))).drop("_there", "_hit")
     same = (line_check(F.col("row_text")) == F.col("line_check")) | ((F.col("line_hash") != 0) & (line_hash(T.normalize(F.col("row_text"))) == F.col("line_hash")))
     status = F.when(F.col("row_text").isNull(), "unavailable").when(same, "ok").otherwise("stale")
     return out.withColumn("text_status", status).withColumn("row_text", F.coalesce("row_text", "plain")).drop("_a", "_b")
@@ -189,10 +201,6 @@ def order_book_numbers(lines: DataFrame) -> DataFrame:
     return lines.select("file_path", book_number(F.col("id")).alias("book_no")).distinct()
 
 
-def numbers_for(lines: DataFrame, known: DataFrame | None, high_water: int) -> DataFrame:
-    return number_books(lines, known, high_water)
-
-
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files of a folder as books, one file a book."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_path"), F.col("value").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,31 @@ class Store:
         self._stage(rows, rows.select("id"))
         return rows.count()
 
+    def upsert_books(self, lines: DataFrame) -> int:
+        """Stage whole books in place of those with the same path: lines the new text no longer has go too. The paths of one
+        call are read by the driver, as those of delete() are."""
+        paths = [r[0] for r in lines.select("file_path").distinct().collect()]
+        self.delete(file_paths=paths)
+        return self.add(lines)
+
+    def set_order(self, order: DataFrame) -> int:
+        """Replace the mapping of books to their orders: stored beside the lines, named by the commit that brings it in.
+        Returns its revision, which grows only on a change."""
+        rows = order.select("file_path", "catalogue_order", "generation_order")
+        digest = rows.select(F.sum(F.xxhash64("file_path", "catalogue_order", "generation_order").cast("decimal(38,0)"))).first()[0]
+        now = self.table.manifest()
+        if now.meta.get("order_digest") == str(digest):
+            return int(now.meta["order_revision"])
+        folder, revision = f"{self.table.path}/order/{uuid.uuid4().hex}", int(now.meta.get("order_revision", 0)) + 1
+        rows.write.parquet(folder)
+        self.table.commit(meta={"order_digest": str(digest), "order_revision": revision, "order": folder}, base=now.version)
+        return revision
+
+    def order(self) -> DataFrame | None:
+        """The stored mapping of books to their orders."""
+        folder = self.table.manifest().meta.get("order")
+        return self.spark.read.schema("file_path string, catalogue_order int, generation_order int").parquet(folder) if folder else None
+
     def delete(self, ids: list[int] | None = None, file_paths: list[str] | None = None, titles: list[str] | None = None) -> None:
         """Stage the removal of lines by id, by book or by title."""
         gone = [F.col(c).isin(list(v)) for c, v in (("id", ids), ("file_path", file_paths), ("title", titles)) if v]
@@ -99,13 +125,13 @@ class Store:
         self._removed: DataFrame | None = None
         self._cleared = False
 
-    def commit(self) -> int:
+    def commit(self, **extra: object) -> int:
         """Publish what is staged: new files, and a deletion vector over the files that stay. Only changed rows are
-        written; nothing that stays is read. Returns the version."""
+        written; nothing that stays is read. ``extra`` metadata is part of the same commit. Returns the version."""
         if self._added is None and self._removed is None and not self._cleared:
-            return self.table.latest()
+            return self.table.commit(meta=extra) if extra else self.table.latest()
         now = self.table.manifest()
-        meta = {"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "book_high_water": max(self._high, int(now.meta.get("book_high_water", 0)))}
+        meta = {"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "book_high_water": max(self._high, int(now.meta.get("book_high_water", 0))), **extra}
         version = self.table.commit(self._added, self._removed, list(now.files) if self._cleared else (), meta, now.version)
         self.rollback()
         return version
@@ -116,10 +142,10 @@ class Store:
 
     def compact(self, rows_per_file: int = 1_000_000) -> int:
         """Rewrite the current version without deletion vectors, in few files of even size, clustered by id."""
-        m = self.table.manifest()
-        now = cut(self.lines())
+        base = self.table.latest()
+        now = cut(self.lines(base))
         n = max(1, -(-now.count() // rows_per_file))
-        return self.table.commit(now.repartitionByRange(n, "id").sortWithinPartitions("id"), drop_files=list(m.files))
+        return self.table.commit(now.repartitionByRange(n, "id").sortWithinPartitions("id"), base=base, rewrite=True)
 
     def file_count(self) -> int:
         return len(self.table.manifest().files)

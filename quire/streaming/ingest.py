@@ -11,16 +11,15 @@ from quire.sources.store import Store
 
 
 def ingest(spark: SparkSession, source: str, schema: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Parquet files with whole books (sources.books.BOOK) that land in ``source`` are upserted into the store, one commit
-    a batch. A batch that is replayed after a failure is recognized by its number in the store's metadata and skipped."""
+    """Parquet files with whole books (sources.books.BOOK) that land in ``source`` replace those of the same path in the
+    store, one commit a batch. The commit holds the batch's number, so a batch that is replayed after a failure is skipped."""
 
     def apply(batch: DataFrame, number: int) -> None:
         if int(store.table.manifest().meta.get("stream_batch", -1)) >= number:
             return
         store.rollback()
-        store.upsert(text_books(batch))
-        store.commit()
-        store.set_meta(stream_batch=number)
+        store.upsert_books(text_books(batch))
+        store.commit(stream_batch=number)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

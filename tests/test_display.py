@@ -20,6 +20,8 @@ def test_snippets():
     s = D.snippet_html(long, D.Paint([A]), 100)
     assert f"{D.OPEN}משה{D.CLOSE}" in s and len(s) < 140 and s.startswith("מלה")
     assert D.page_snippet_html(long + " " + long, D.Paint([A]), 400).count(D.OPEN) == 2
+    assert D.vocalize_snippet(f"{D.OPEN}אב{D.CLOSE}", "אָב גַד אָב", "אב גד אב") == f"{D.OPEN}אָב{D.CLOSE}"
+    assert D.vocalize_snippet(f"גד {D.OPEN}אב{D.CLOSE}", "אָב גַד אָב", "אב גד אב") == f"גַד {D.OPEN}אָב{D.CLOSE}"
     assert D.vocalize_snippet(f"{D.OPEN}משה{D.CLOSE} א", "מֹשֶׁה א") == f"{D.OPEN}מֹשֶׁה{D.CLOSE} א"
 
 

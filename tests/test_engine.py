@@ -313,5 +313,60 @@ def test_semantic(spark, device):
     assert all(r.file_path == "id:303" for r in only.collect())
     assert {(r.key, r.change) for r in device.semantic_index_diff(keys).collect()} == {("k3", "added"), ("k9", "removed")}
     assert device.semantic_coverage(keys).agg(F.sum("covered")).first()[0] == sum(1 for r in keys.collect() if r.key != "k3")
+    assert device.install_semantic_vectors(spark.createDataFrame([("k3", [1.0, 0.1]), ("K0", [0.0, 1.0])], "key string, embedding array<double>"), delta=True, tombstones=spark.createDataFrame([("k9",)], "key string")) == 2
+    assert device.semantic_vectors_info().first().keys == 4 and device._vectors().where("key = 'k0'").first().embedding == [0.0, 1.0]
+    device.restore_semantic_generation()
+    assert {r.key for r in device._vectors().collect()} == {"k0", "k1", "k2", "k9"}
+    device.compact_semantic_vectors()
+    assert device.retire_previous_semantic_generation() > 0 and device.semantic_vectors_info().first().vectors == 4
+    again = SearchEngine(spark, device.path)
+    assert again.semantic_status() == "ready" and at(again.search_exact("מחשב")) == CAT
+    s = device.semantic_session("מחשב", [1.0, 0.0], keys, grouping=IDENTICAL_TEXT)
+    both = [r.id for r in s.page(2).collect()] + [r.id for r in s.page(10, 2).collect()]
+    assert both == [r.id for r in s.ranked] and s.total == len(set(both)) and not s.restarted and device.semantic_session("מחשב", [1.0, 0.0], keys, grouping=IDENTICAL_TEXT) is s
     device.disable_semantic()
     assert device.semantic_status() == "notConfigured"
+    assert device.semantic_session("מחשב", [1.0, 0.0], keys, grouping=IDENTICAL_TEXT).restarted
+
+
+def test_page_order_without_broadcast(spark, device):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert at(device.search_exact("מחשב")) == CAT and at(device.search_exact("מחשב", order=GENERATION)) == [(3, 1), (1, 1), (1, 3), (2, 0), (2, 1)]
+        assert [(r.id >> 32, r.ordinal) for part in device.stream("exact", "מחשב", 2) for r in part] == CAT
+        assert at(device.search_exact("מחשב", limit=2, offset=3)) == CAT[3:]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_index_follows_commits(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path))
+    e.add_text_book("t", "/a", "p", "אחת שתים\nשלש\nאַחַת עוד")
+    e.commit()
+    assert e.count_exact("אחת") == 2 and e.search_exact("אַחַת", match_nikud=True).total == 1
+    assert [r.text for r in e.search_exact("אחת").rows.collect()][1] == "<font color=red>אַחַת</font> עוד"
+    e.upsert_documents_batch(spark.createDataFrame([("p", 1, "אחת אחת")], "file_path string, ordinal int, text string"))
+    e.delete_document_by_id((1 << 32) + 1)
+    e.commit()
+    assert e.count_exact("אחת") == 2 and e.count_exact("שלש") == 0 and e.count_exact("שתים") == 0
+    assert {(r.term, r.df) for r in e.terms().collect()} == {("אחת", 2), ("עוד", 1)}
+    e.optimize()
+    assert e.count_exact("אחת") == 2
+    assert [r.id for r in e.neighbour((1 << 32) + 2).collect()] == [(1 << 32) + 3] and e.get_documents_by_ids([1, 2]).count() == 0
+    assert e.count("advanced", "אחת", alternative_words={0: ["לא כן", "שלש"]}) == 2 and e.count("advanced", "זה", alternative_words={0: ["אחת אחת"]}) == 1
+    plan = e.hits(e.exact_query("אחת")).rows.select("id")._jdf.queryExecution().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_line_sources(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path))
+    e.add_text_books(spark.createDataFrame([(p, p, "", "דבר אחד\nדבר שני\nדבר שלישי", [], 0) for p in ("id:1", "uid:2", "db:x:3")], BOOK))
+    e.commit()
+    rows = lambda *r: spark.createDataFrame(list(r), "book_id long, line_index int, content string")
+    assert {r.text_status for r in e.search_exact("דבר").rows.collect()} == {None}
+    e.configure_line_source("library", rows((1, 0, "דבר אחד"), (1, 1, "אחר לגמרי"), (1, 5, "דבר שלישי")))
+    e.configure_line_source("user", rows())
+    e.suspend_line_source("user")
+    got = {(r.file_path, r.ordinal): r.text_status for r in e.search_exact("דבר").rows.collect()}
+    assert [got["id:1", i] for i in range(3)] == ["ok", "stale", "ok"] and {got[p, i] for p in ("uid:2", "db:x:3") for i in range(3)} == {"unavailable"}

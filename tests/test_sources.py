@@ -59,7 +59,7 @@ def test_difference_and_stamps(spark):
 
 def test_stored_postings(spark, tmp_path):
     c = build(spark.createDataFrame([(i, f"w{i % 3} common x{i}") for i in range(30)] + [(99, None)], "id long, raw string"))
-    c.write(str(tmp_path / "c"), buckets=4)
+    c.write(str(tmp_path / "c"))
     s = Corpus.read(spark, str(tmp_path / "c"))
     for q in (Query([plan_word("w1")]), Query([plan_word("w1"), plan_word("common")], [0]), Query([plan_word("none")])):
         assert sorted(r.id for r in search(s, q).rows.select("id").collect()) == sorted(r.id for r in search(c, q).rows.select("id").collect())
