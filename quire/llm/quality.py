@@ -4,8 +4,9 @@ Every document gets a vector of statistics. Per language (told by its frequent w
 centre and covariance of prose are estimated robustly from the documents that are no lists, tables or junk by their lines,
 copies counted once: medians and median deviations first, then means and covariances over the documents that lie near,
 twice. The Mahalanobis distance to that centre says how unusual a document is, and splits into one contribution a
-statistic. The kind follows from the share of lines that are entries of a list, rows of a table or no readable language,
-and from nothing else, so that it doesn't depend on what else is in the table.
+statistic. Documents beyond the threshold are outliers; those whose lines of a list, of a table or of no readable language
+add to the distance are candidates for that kind, and an exact count (more than half of the lines) decides on them. The
+sift loses none: the spread of a share of lines is that of prose near the centre, where half of all lines is far off.
 """
 
 from __future__ import annotations
@@ -166,10 +167,10 @@ class Prose:
     """Centre and inverse covariance of prose for each language; a few numbers a language, held by the driver."""
 
     def __init__(self, stats: DataFrame, rounds: int = 2):
-        known = cut(of_prose(stats)).withColumn("doc_id", F.lit(None).cast("long"))
+        known = cut(of_prose(stats)).withColumn("doc_id", F.lit(None).cast("long")).withColumn("words", F.lit(None).cast("long"))
         stats = known.unionByName(known.withColumn("language", F.lit(UNKNOWN)))  # texts of no language are held against all prose
         mid = self._medians(stats)
-        off = stats.select("doc_id", "language", *STATS).mapInArrow(_with_model(mid, lambda x, m: np.abs(x - m)), "language string, " + ", ".join(f"{s} double" for s in STATS))
+        off = stats.select("doc_id", "language", "words", *STATS).mapInArrow(_with_model(mid, lambda x, m: np.abs(x - m)), "language string, " + ", ".join(f"{s} double" for s in STATS))
         dev = self._medians(off)
         floor = np.array(FLOOR)
         self.models = {lang: (m, np.diag(1 / np.maximum(1.4826 * dev[lang], floor) ** 2)) for lang, m in mid.items()}
@@ -196,12 +197,12 @@ class Prose:
         distance. A part can be slightly negative where correlated statistics explain each other. Documents of a language
         without prose are held against all prose; where there is no prose at all, no document has a distance.
         """
-        schema = "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATS) + ", parts array<double>, distance double"
-        return stats.select("doc_id", "language", *STATS).mapInArrow(_distances(self.models), schema)
+        schema = "doc_id long, language string, words long, " + ", ".join(f"{s} double" for s in STATS) + ", parts array<double>, distance double"
+        return stats.select("doc_id", "language", "words", *STATS).mapInArrow(_distances(self.models), schema)
 
 
 def _with_model(models: dict[str, np.ndarray], make):
-    """mapInArrow: (doc_id, language, *STATS) -> (language, *STATS), the values made from each row and its language's vector."""
+    """mapInArrow: (doc_id, language, words, *STATS) -> (language, *STATS), the values made from each row and its language's vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +215,7 @@ def _with_model(models: dict[str, np.ndarray], make):
 
 
 def _values(b: pa.RecordBatch) -> np.ndarray:
-    return np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))])
+    return np.column_stack([b.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))])
 
 
 def _distances(models: dict[str, tuple[np.ndarray, np.ndarray]]):
@@ -235,14 +236,24 @@ def _distances(models: dict[str, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
+KINDS = {"list": "list_lines", "table": "table_lines", "junk": "unreadable_lines"}
+
+
 def outliers(stats: DataFrame, prose: Prose | None = None) -> DataFrame:
-    """Each document with its distance, the statistic that contributes most, and its kind: (doc_id, language, distance,
-    parts, main, kind). Kind is ``list``, ``table`` or ``junk`` for documents of which more than half of the lines are such,
-    however near to prose, else ``prose``."""
-    scored = (prose or Prose(stats)).distances(stats)
+    """Each document with its distance, the statistic that contributes most, and its kind: (doc_id, language, words,
+    distance, far, parts, main, kind, *STATS).
+
+    ``far`` documents lie beyond the threshold (or there is no prose to hold them against). Of these, one is of the kind
+    ``list``, ``table`` or ``junk`` if its lines of that kind add to the distance and are more than half of its lines; all
+    others are ``prose``: unusual, but running text.
+    """
+    scored = (prose or Prose(stats)).distances(stats).withColumn("far", F.coalesce(F.col("distance") > FAR, F.lit(True)))
     largest = F.array_position("parts", F.array_max("parts"))
-    kind = F.when(F.col("list_lines") > 0.5, "list").when(F.col("table_lines") > 0.5, "table").when(F.col("unreadable_lines") > 0.5, "junk").otherwise("prose")
-    return scored.select("doc_id", "language", "distance", "parts", F.element_at(F.array(*map(F.lit, STATS)), largest.cast("int")).alias("main"), kind.alias("kind"), *STATS)
+    kind = F.lit("prose")
+    for name, share in KINDS.items():
+        adds = F.coalesce(F.get("parts", F.lit(STATS.index(share))) > 0, F.lit(True)) | F.col("distance").isNull()
+        kind = F.when(F.col("far") & adds & (F.col(share) > 0.5), name).otherwise(kind)
+    return scored.select("doc_id", "language", "words", "distance", "far", "parts", F.element_at(F.array(*map(F.lit, STATS)), largest.cast("int")).alias("main"), kind.alias("kind"), *STATS)
 
 
 def classified(df: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:

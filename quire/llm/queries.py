@@ -135,7 +135,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document, its distance from prose, and the statistic that contributes most to it."""
-    return judged(spark, d).select("doc_id", "language", *STATS, "distance", "parts", "main", "kind")
+    return judged(spark, d).select("doc_id", "language", "words", *STATS, "distance", "far", "parts", "main", "kind")
 
 
 def p5_converted(spark: SparkSession, d: str) -> DataFrame:
