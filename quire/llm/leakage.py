@@ -24,8 +24,10 @@ from quire.llm.common import bare_words, offsets_of
 MIN_WORDS = 12
 #: Documents are gathered to shards of about so many words; one longer document is a shard of its own.
 SHARD_WORDS = 400_000
-#: Test items are searched in blocks of at most so many words, so that what is sent to the tasks is bounded.
+#: Test items are searched in blocks of about so many words: a task holds one block beside its shard at a time.
 BLOCK_WORDS = 200_000
+#: Matches of a shard and a block are followed at most so many at a time, whatever their number.
+MATCHES = 1 << 21
 
 _FOUND = "doc_id long, item_id long, doc_word int, item_word int, words int"
 
@@ -112,17 +114,28 @@ def search(docs: list[np.ndarray], items: Items) -> tuple[np.ndarray, ...]:
     suffixes, keys = suffixes[order], keys[order]
     wanted = prefix(tests)
     lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    count = hi - lo
-    if not count.any():
-        return none
-    t = np.repeat(tests, count)
-    s = suffixes[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    # how far each match goes: as many doublings as agree, from large to small, again and again
+    before = offsets_of(hi - lo)
+    out = [none]
+    for first in range(0, int(before[-1]), MATCHES):
+        n = np.arange(first, min(first + MATCHES, int(before[-1])))
+        k = np.searchsorted(before, n, "right") - 1
+        s, t = suffixes[lo[k] + n - before[k]], tests[k]
+        length = _reach(levels, s, t)
+        place = where[s]
+        out.append(_longest(np.searchsorted(off, place, "right") - 1, np.searchsorted(np.array(items.starts), t - base, "right") - 1, place, t - base, length))
+    doc, item, place, t, length = _longest(*(np.concatenate(x) for x in zip(*out, strict=True)))
+    return doc, item, place - off[doc], t - np.array(items.starts)[item], length
+
+
+def _reach(levels: list[np.ndarray], s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at ``s`` and ``t`` have in common: as many doublings as agree, from large to small,
+    again and again."""
+    size = len(levels[0])
     length, x, y, more = np.zeros(len(t), dtype=np.int64), s.copy(), t.copy(), np.ones(len(t), dtype=bool)
     while more.any():
         grown = np.zeros(len(t), dtype=bool)
         for k in range(len(levels) - 1, -1, -1):
-            ok = more & (x < len(both)) & (y < len(both))
+            ok = more & (x < size) & (y < size)
             ok[ok] = levels[k][x[ok]] == levels[k][y[ok]]
             step = 1 << k
             length[ok] += step
@@ -130,41 +143,46 @@ def search(docs: list[np.ndarray], items: Items) -> tuple[np.ndarray, ...]:
             y[ok] += step
             grown |= ok
         more = grown
-    place = where[s]
-    doc = np.searchsorted(off, place, "right") - 1
-    item = np.searchsorted(np.array(items.starts), t - base, "right") - 1
+    return length
+
+
+def _longest(doc: np.ndarray, item: np.ndarray, place: np.ndarray, t: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the matches of each document and item the longest, the first of equals."""
     order = np.lexsort((t, place, -length, item, doc))
     doc, item, place, t, length = doc[order], item[order], place[order], t[order], length[order]
     first = np.ones(len(doc), dtype=bool)
     first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return doc[first], item[first], (place - off[doc])[first], (t - base - np.array(items.starts)[item])[first], length[first]
+    return doc[first], item[first], place[first], t[first], length[first]
 
 
-def _search(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Items = items.value
-        get = block.vocab.get
+def _search(blocks: list, min_words: int):
+    """mapInArrow: (doc_id, text) -> matches. A shard is read and parted into words once, then held against every block."""
 
-        def flush(ids: list[int], docs: list[np.ndarray]) -> pa.RecordBatch:
-            doc, item, a, b, n = search(docs, block)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, dtype=np.int64)[doc]), pa.array(np.array(block.ids, dtype=np.int64)[item]), *(pa.array(v.astype(np.int32)) for v in (a, b, n))], ["doc_id", "item_id", "doc_word", "item_word", "words"]
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list[int], docs: list[list[str]]) -> Iterator[pa.RecordBatch]:
+            for sent in blocks:
+                block: Items = sent.value
+                get = block.vocab.get
+                doc, item, a, b, n = search([np.fromiter((get(w, 0) for w in d), dtype=np.int32, count=len(d)) for d in docs], block)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(ids, dtype=np.int64)[doc]), pa.array(np.array(block.ids, dtype=np.int64)[item]), *(pa.array(v.astype(np.int32)) for v in (a, b, n))], ["doc_id", "item_id", "doc_word", "item_word", "words"]
+                    )
 
         ids, docs, have = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                if len(words) < block.min_words:
+                if len(words) < min_words:
                     continue
                 ids.append(doc)
-                docs.append(np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words)))
+                docs.append(words)
                 have += len(words)
                 if have >= SHARD_WORDS:
-                    yield flush(ids, docs)
+                    yield from flush(ids, docs)
                     ids, docs, have = [], [], 0
         if docs:
-            yield flush(ids, docs)
+            yield from flush(ids, docs)
 
     return run
 
@@ -174,30 +192,26 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     longest match: (doc_id, item_id, doc_word, item_word, words).
 
     Null ids and texts and texts under ``min_words`` words (empty ones too) match nothing. Repeated rows of either table
-    count once. Items are read once by the driver in blocks of bounded size, each sent to all tasks; documents never
-    leave theirs. No items or no documents give an empty result. Other columns are not looked at.
+    count once. Items go out in blocks, which the driver makes one after the other and keeps on disk for the tasks: what is
+    sent grows with the test items (a few bytes a word), not with the documents, which are read once and never leave their
+    task. No items or no documents give an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    out, block, have = [], [], 0
-
-    def flush() -> None:
-        if block:
-            out.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(Items(block, min_words))), _FOUND))
-
+    blocks, block, have = [], [], 0
+    send = lambda rows: blocks.append(spark.sparkContext.broadcast(Items(rows, min_words)))
     for item, body in tests.toLocalIterator():
         words = words_of(body)
         if len(words) >= min_words:
             block.append((item, words))
             have += len(words)
             if have >= BLOCK_WORDS:
-                flush()
+                send(block)
                 block, have = [], 0
-    flush()
-    found = spark.createDataFrame([], _FOUND)
-    for part in out:
-        found = found.unionByName(part)
+    if block:
+        send(block)
+    found = rows.mapInArrow(_search(blocks, min_words), _FOUND) if blocks else spark.createDataFrame([], _FOUND)
     best = F.struct("words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))
     top = found.groupBy("doc_id", "item_id").agg(F.max(best).alias("m"))
     return top.select("doc_id", "item_id", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"), F.col("m.words").alias("words"))

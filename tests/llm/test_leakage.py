@@ -24,6 +24,7 @@ def brute(docs, items, k=12):
 def test_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(m, "SHARD_WORDS", 300)
     monkeypatch.setattr(m, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(m, "MATCHES", 64)
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([5, 12, 30, 90])))) for i in range(12)] + [(50, "a " * 40), (51, "")]
