@@ -2,9 +2,10 @@
 
 Every place a piece may end has a penalty: nothing at the end of a paragraph, little at the end of a sentence, more
 between clauses, more between words, much inside a word (only offered where no white space is near). A piece that
-follows a cut starts up to ``overlap`` characters before it, at the best boundary there. Among all ways to cover the
-text with pieces under the limit, the cheapest is taken: cut penalties plus the squared deviation of each piece from
-the even length. Time is proportional to the length of the text, as only ends within one piece length are compared.
+follows a cut starts up to ``overlap`` characters before it, at a boundary too. Among all ways to cover the text with
+pieces under the limit, ends and starts chosen together, the cheapest is taken: penalties of the cuts, part of those of the
+starts, what an overlap falls short of the one asked for, and the squared deviation of each piece from the even length.
+Time is proportional to the length of the text, as only places within one piece length are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MAX_CHARS, OVERLAP = 512, 128
 MARK = "[PASSAGE] "
 #: Penalties of the kinds of a cut; the deviation of a piece from the even length counts up to BALANCE.
 PARAGRAPH, SENTENCE, CLAUSE, WORD, INSIDE, BALANCE = 0.0, 1.0, 3.0, 6.0, 60.0, 8.0
+#: How much of a boundary's penalty counts where a piece starts, and the cost of no overlap at all.
+START, SHORT = 0.5, 3.0
 
 _GAP = regex.compile(r"\s+")
 _SENTENCE_END = regex.compile(r"[.!?׃:…؟。！？][\"'”’״׳)\]]*$")
@@ -58,16 +61,10 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             ends.append(a)
             starts.append(b)
             costs.append(cost)
-            if b - a > step:  # a desert of white space: further places inside it, so that pieces stay under the limit
-                for p in range(a + step, b, step):
-                    ends.append(p)
-                    starts.append(p)
-                    costs.append(cost)
         last = b
     if len(text) - last > step:
         inside(last, len(text))
-    order = np.argsort(np.array(ends, dtype=np.int64), kind="stable")
-    return np.array(ends, dtype=np.int64)[order], np.array(starts, dtype=np.int64)[order], np.array(costs)[order]
+    return np.array(ends, dtype=np.int64), np.array(starts, dtype=np.int64), np.array(costs, dtype=np.float64)
 
 
 def split_spans(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -82,35 +79,54 @@ def split_spans(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> li
     if n <= limit:
         return [(lead, lead + n)] if n else []
     ends, starts, costs = boundaries(text, limit)
-    # where the piece after a cut starts: the boundary with the least penalty up to `overlap` before it, then the earliest
-    room = min(overlap, limit // 2)
-    first = np.searchsorted(starts, ends - room)
-    begin = starts.copy()
-    for i in range(len(ends)):
-        lo = first[i]
-        if room and lo < i:
-            begin[i] = starts[lo + int(np.argmin(costs[lo:i] * 1000 + np.arange(i - lo)))]
-    ends, begin, costs = np.append(ends, n), np.append(begin, n), np.append(costs, 0.0)
-    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
-    even = min(limit, (n + (pieces - 1) * overlap) / pieces)
-    best, back = np.full(len(ends), np.inf), np.full(len(ends), -1)
+    spans = _cheapest(n, ends, starts, costs, limit, min(overlap, limit // 2)) or _cheapest(n, ends, starts, costs, limit, 0)
+    return [(lead + a, lead + b) for a, b in spans if text[a:b].strip()]
+
+
+def _cheapest(n: int, ends: np.ndarray, starts: np.ndarray, costs: np.ndarray, limit: int, room: int) -> list[tuple[int, int]]:
+    """The cheapest pieces of a text of ``n`` characters, empty if no choice of boundaries covers it.
+
+    ``close[j]`` is the least cost of everything up to the cut j, ``open_[k]`` that of everything before a piece that starts
+    at boundary k (0 is the start of the text). A piece ends more than ``room`` behind its start, so it goes on beyond the
+    cut before it, and all cuts a start can follow are settled when it is first needed.
+    """
+    pieces = max(2, -(-(n - room) // (limit - room)))
+    even = min(limit, (n + (pieces - 1) * room) / pieces)
+    ends, costs = np.append(ends, n), np.append(costs, 0.0)
+    begin, lead = np.append(0, starts), START * np.append(0.0, costs[:-1])
+    close, from_ = np.full(len(ends), np.inf), np.full(len(ends), -1)
+    open_, after = np.full(len(begin), np.inf), np.full(len(begin), -1)
+    open_[0], settled = 0.0, 1
+    first = np.searchsorted(ends, begin)  # cut k - 1 is where boundary k lies; earlier cuts end before it
+    last = np.searchsorted(ends, begin + room, "right")
+    low = np.searchsorted(begin, ends - limit)
+    high = np.searchsorted(begin, ends - room)
     for j in range(len(ends)):
-        if ends[j] <= limit:
-            best[j] = costs[j] + BALANCE * ((ends[j] - even) / limit) ** 2
-        lo = int(np.searchsorted(ends, ends[j] - limit))
-        if lo < j:
-            length = ends[j] - begin[lo:j]
-            total = best[lo:j] + BALANCE * ((length - even) / limit) ** 2
-            total[length > limit] = np.inf
-            k = int(np.argmin(total))
-            if total[k] + costs[j] + 1e-12 < best[j]:
-                best[j], back[j] = total[k] + costs[j], lo + k
+        while settled < len(begin) and begin[settled] + room < ends[j]:
+            k = settled
+            lo, hi = min(int(first[k]), k - 1), int(last[k])
+            if lo < hi:
+                shared = np.maximum(ends[lo:hi] - begin[k], 0)
+                total = close[lo:hi] + (SHORT * (1 - shared / room) ** 2 if room else 0.0) + lead[k]
+                total[k - 1 - lo] -= lead[k]  # the piece starts where the one before it ends: one boundary, one penalty
+                total[ends[lo:hi] < ends[k - 1]] = np.inf
+                i = int(np.argmin(total))
+                open_[k], after[k] = total[i], lo + i
+            settled += 1
+        lo, hi = int(low[j]), max(int(high[j]), 1 if ends[j] <= limit else 0)
+        if lo < hi:
+            length = ends[j] - begin[lo:hi]
+            total = open_[lo:hi] + BALANCE * ((length - even) / limit) ** 2
+            i = int(np.argmin(total))
+            close[j], from_[j] = total[i] + costs[j], lo + i
+    if not np.isfinite(close[-1]):
+        return []
     spans, j = [], len(ends) - 1
     while j >= 0:
-        i = int(back[j])
-        spans.append((int(begin[i]) if i >= 0 else 0, int(ends[j])))
-        j = i
-    return [(lead + a, lead + b) for a, b in reversed(spans) if text[a:b].strip()]
+        k = int(from_[j])
+        spans.append((int(begin[k]), int(ends[j])))
+        j = int(after[k]) if k else -1
+    return spans[::-1]
 
 
 def split(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
@@ -118,36 +134,50 @@ def split(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str
     return [text[a:b].strip() for a, b in split_spans(text, limit, overlap)]
 
 
-def _windows(limit: int, overlap: int):
+_CUT = "id long, passage int, chars int, first int, pieces array<string>"
+
+
+def _cutter(limit: int, overlap: int):
+    """mapInArrow: (id, passages) -> each passage with its pieces and the ordinal of the first of them in its line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for key, passages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ordinal = 0
+                first = 0
                 for k, text in enumerate(passages):
-                    pieces = split(text, limit, overlap) if text is not None else []
-                    for p in pieces:
-                        for col, v in zip(out, (key, k, ordinal, len(text), MARK + p), strict=True):
+                    if text is not None:
+                        pieces = split(text, limit, overlap)
+                        for col, v in zip(out, (key, k, len(text), first, pieces), strict=True):
                             col.append(v)
-                        ordinal += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["id", "passage", "ordinal", "chars", "text"])
+                        first += len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "passage", "chars", "first", "pieces"])
 
     return run
 
 
-def windows(df: DataFrame, key: str, main: str, notes: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """The windows of every line that has a passage over the limit: (id, passage, ordinal, chars, text).
+def cut_passages(df: DataFrame, key: str, main: str, notes: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """The passages of every line that has one over the limit, with their pieces: (id, passage, chars, first, pieces).
 
-    ``passage`` 0 is ``main``, k the k-th of ``notes``; ``ordinal`` counts the windows of a line, ``chars`` is the
-    length of the passage; ``text`` starts with the mark, which doesn't count. Null passages, null lists and blank texts give no window.
-    Rows with a null key are left out; rows repeating a key count once (by key, as they have the same texts). Lines
-    without a long passage are dropped by the scan before any text reaches Python.
+    ``passage`` 0 is ``main``, k the k-th of ``notes``; ``chars`` is the length of the passage, ``first`` the ordinal of its
+    first piece in the line. Null passages and null lists are none; a blank passage has no piece. Rows with a null key are
+    left out; rows repeating a key count once (by key, as they have the same texts). Lines without a long passage are
+    dropped by the scan before any text reaches Python.
     """
     passages = F.concat(F.array(F.col(main)), F.coalesce(F.col(notes), F.array().cast("array<string>")))
     rows = df.select(F.col(key).cast("long").alias("id"), passages.alias("passages")).where(F.col("id").isNotNull() & F.exists("passages", lambda t: F.length(t) > limit))
-    return rows.dropDuplicates(["id"]).mapInArrow(_windows(limit, overlap), "id long, passage int, ordinal int, chars int, text string")
+    return rows.dropDuplicates(["id"]).mapInArrow(_cutter(limit, overlap), _CUT)
+
+
+def windows(df: DataFrame, key: str, main: str, notes: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """The windows of every line that has a passage over the limit: (id, passage, ordinal, chars, text), see cut_passages.
+    ``ordinal`` counts the windows of a line; ``text`` starts with the mark, which doesn't count."""
+    each = cut_passages(df, key, main, notes, limit, overlap).select("id", "passage", "chars", "first", F.posexplode("pieces").alias("at", "piece"))
+    return each.select("id", "passage", (F.col("first") + F.col("at")).alias("ordinal"), "chars", F.concat(F.lit(MARK), "piece").alias("text"))
 
 
 def oversized(df: DataFrame, key: str, main: str, notes: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """The passages that had to be cut, being longer than the limit: (id, passage)."""
-    return windows(df, key, main, notes, limit, overlap).where(F.col("chars") > limit).select("id", "passage").distinct()
+    """The passages that the cutter had to divide, or that are over the limit with little but white space: (id, passage)."""
+    rows = cut_passages(df, key, main, notes, limit, overlap)
+    return rows.where((F.size("pieces") > 1) | (F.col("chars") > limit)).select("id", "passage").distinct()

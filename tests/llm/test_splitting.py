@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import quire.llm.splitting as S
 from quire.llm.splitting import MARK, oversized, split, split_spans, windows
 
 
@@ -32,6 +33,55 @@ def test_cuts_at_sentences():
     assert all(c < b for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
+def cost(spans, text, limit, room):
+    """What a choice of pieces costs, None if a start or an end lies at no boundary."""
+    ends, starts, costs = S.boundaries(text, limit)
+    n = len(text)
+    pieces = max(2, -(-(n - room) // (limit - room)))
+    even = min(limit, (n + (pieces - 1) * room) / pieces)
+    total = 0.0
+    for i, (a, b) in enumerate(spans):
+        total += S.BALANCE * ((b - a - even) / limit) ** 2
+        if b < n:
+            total += min(c for e, c in zip(ends, costs) if e == b)
+        if i:
+            before = spans[i - 1][1]
+            total += S.SHORT * (1 - max(before - a, 0) / room) ** 2 if room else 0.0
+            total += 0.0 if any(e == before and s == a for e, s in zip(ends, starts)) else S.START * min(c for s, c in zip(starts, costs) if s == a)
+    return total
+
+
+def every(text, limit, room):
+    """All choices of pieces, longest pieces not preferred."""
+    ends, starts, _ = S.boundaries(text, limit)
+    cuts = list(zip(map(int, ends), map(int, starts)))
+
+    def grow(a, spans):
+        for b in [*(e for e, _ in cuts), len(text)]:
+            if b - a > limit or (spans and b - a <= room) or b <= a or (spans and b <= spans[-1][1]):
+                continue
+            if b == len(text):
+                yield [*spans, (a, b)]
+                continue
+            own = {s for e, s in cuts if e == b}
+            for s in {s for _, s in cuts if s <= max(own) and s >= b - room} | own:
+                if s > a:
+                    yield from grow(s, [*spans, (a, b)])
+
+    return grow(0, [])
+
+
+def test_cheapest_of_all_choices():
+    r = random.Random(9)
+    for _ in range(60):
+        text = " ".join(r.choice(["ab", "cdefg.", "hi,", "jklm", "no\np"]) for _ in range(r.randrange(6, 11)))
+        limit, room = r.choice([(16, 4), (20, 5), (18, 0)])
+        if len(text) <= limit:
+            continue
+        least = min(cost(x, text, limit, room) for x in every(text, limit, room))
+        assert cost(split_spans(text, limit, room), text, limit, room) == pytest.approx(least), (text, limit, room)
+
+
 def test_edges():
     assert split("") == [] and split("  \n") == [] and split("a" * 512) == ["a" * 512]
     assert [len(p) for p in split("a" * 513)] == [len(p) for p in split("b" * 513)] and len(split("a" * 513)) == 2
@@ -50,4 +100,7 @@ def test_windows(spark):
     assert [r.ordinal for r in got if r.id == 2] == list(range(len([r for r in got if r.id == 2])))
     assert [(r.passage, r.ordinal) for r in got if r.id == 2][:3] == [(0, 0), (1, 1), (3, 2)]
     assert sorted(tuple(r) for r in oversized(df, "id", "semantic_text", "semantic_notes").collect()) == [(1, 0), (2, 3)]
+    blank = spark.createDataFrame([(7, " " * 600, ["x"]), (8, " " * 300 + "a" + " " * 300, None)], "id long, semantic_text string, semantic_notes array<string>")
+    assert sorted(tuple(r) for r in oversized(blank, "id", "semantic_text", "semantic_notes").collect()) == [(7, 0), (8, 0)]
+    assert [(r.id, r.passage) for r in windows(blank, "id", "semantic_text", "semantic_notes").orderBy("id").collect()] == [(7, 1), (8, 0)]
     assert windows(df.limit(0), "id", "semantic_text", "semantic_notes").count() == 0
