@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import as_long, mix64
@@ -163,15 +163,23 @@ def _repeated(rows: DataFrame, name: str) -> DataFrame:
     return cut(rows.groupBy(name).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(name))
 
 
-def shared_windows(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(id, chars, starts): for each text with windows that also stand under another id, its length and their places."""
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= width))
+def shared_windows(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, starts): for each text (id, text, alone) that is ``alone``, the places of its windows that also stand under another id,
+    if there are any. A text's places are bounded by its length."""
     runs = cut(texts.mapInArrow(_packed(_runs(width)), "fp long, id long, start int, n int"))
     kept = runs.join(_repeated(runs, "fp"), "fp", "left_semi").select("id", "start", "n").distinct()
-    per = kept.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # bounded by the text's own length
+    per = kept.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     rows = cut(texts.join(per, "id").select("id", "text", "runs").mapInArrow(_packed(_hashes(width)), "hash long, id long, pos int, chars int"))
-    hits = rows.join(_repeated(rows, "hash"), "hash", "left_semi")
-    return hits.groupBy("id", "chars").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    hits = rows.select("hash", "id", "pos").join(_repeated(rows, "hash"), "hash", "left_semi").join(texts.where("alone").select("id"), "id", "left_semi")
+    return hits.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+
+
+def _intervals(starts: str, width: int) -> Column:
+    """Windows that overlap or touch merged to maximal intervals."""
+    p = F.col(starts)
+    begin = F.filter(p, lambda x, i: F.coalesce(x - F.get(p, i - 1) > width, F.lit(True)))
+    end = F.transform(F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1) - x > width, F.lit(True))), lambda x: x + width)
+    return F.zip_with(begin, end, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
 def shared_spans(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
@@ -180,11 +188,17 @@ def shared_spans(df: DataFrame, key: str, text: str, width: int = WIDTH) -> Data
 
     Null keys and texts, and texts shorter than ``width``, share nothing. Rows that repeat a key count once, as they have
     the same text; copies under one key are no other record. Copies under other keys are shared from end to end. Other
-    columns are not looked at. An empty table gives an empty result. Windows are compared by 64-bit hashes.
+    columns are not looked at. An empty table gives an empty result. Windows are compared by 64-bit hashes, whole texts by
+    128 bits.
     """
-    p = F.col("starts")
-    begin = F.filter(p, lambda x, i: F.coalesce(x - F.get(p, i - 1) > width, F.lit(True)))
-    end = F.transform(F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1) - x > width, F.lit(True))), lambda x: x + width)
-    spans = F.zip_with(begin, end, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    out = shared_windows(df, key, text, width).select("id", "chars", spans.alias("spans"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= width))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("low"), F.xxhash64(F.lit("high"), "text").alias("high"))
+    members = cut(rows.select("low", "high", "id", F.length("text").alias("chars")).distinct())
+    classes = cut(members.groupBy("low", "high", "chars").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
+    one = classes.select("low", "high", F.col("rep").alias("id"), (F.col("rep") == F.col("last")).alias("alone"))
+    texts = cut(rows.join(one, ["low", "high", "id"]).select("id", "text", "alone").dropDuplicates(["id", "alone"]))
+    found = shared_windows(texts, width).select(F.col("id").alias("rep"), _intervals("starts", width).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").alias("end")))
+    per = classes.join(found, "rep", "left").withColumn("spans", F.when(F.col("rep") < F.col("last"), whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
+    out = members.select("low", "high", "id").join(per.select("low", "high", "chars", "spans"), ["low", "high"]).select("id", "chars", "spans")
     return out.withColumn("covered", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]))
