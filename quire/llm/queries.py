@@ -144,8 +144,8 @@ def p5_converted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines whose raw text has markup, one row for each kind that the conversion met."""
-    return p5_converted(spark, d).where(F.size("kinds") > 0).select("id", F.explode("kinds").alias("kind")).distinct()
+    """Lines whose raw text has markup, one row for each kind that its blocks have, kept ones and residue alike."""
+    return p5_converted(spark, d).select("id", F.explode("blocks.kinds").alias("kinds")).select("id", F.explode("kinds").alias("kind")).distinct()
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:

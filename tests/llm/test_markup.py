@@ -57,3 +57,43 @@ def test_table(spark):
     got = {r.id: r for r in converted(df, "id", "raw", common).collect()}
     assert set(got) == {1, 3, 4, 6} and got[1].text == "x" and got[1].kinds == ["html"] and got[3].text == "" and got[4].kinds == [] and got[6].kinds == ["markdown"]
     assert converted(df.limit(0), "id", "raw", common).count() == 0
+
+
+STOP = frozenset("the of and a to in is".split())
+
+
+def labels(raw):
+    return [(b.label, b.kinds) for b in blocks(raw, STOP)[0]]
+
+
+def test_navigation_is_residue_and_its_neighbours_inherit():
+    text = "<p>The end of the story is told in a book to which the reader of the day went in search of a <b>word</b>, and so on.</p>"
+    links = "<p>" + " ".join(f'<a href="/{i}">Section number {i}</a>' for i in range(6)) + "</p>"
+    raw = f"{links}\n<p>Home</p>\n{links}\n{text}\n<p>A short one</p>\n{text}\n<p>Top</p>"
+    assert [x for x, _ in labels(raw)] == ["residue", "residue", "residue", "text", "text", "text", "text"]
+    out = clean(raw, STOP)
+    assert "Section" not in out and "Home" not in out and "A short one" in out and out.endswith("Top")
+    assert [k for _, k in labels("<p>The <i>one</i></p>\n\nplain and simple\n\n**bold** is the word")] == [["html"], [], ["markdown"]]
+    assert labels("<!-- only a remark -->") == [("residue", ["html"])] and clean("<!-- only a remark -->", STOP) == ""
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("<ol><li>one</li><li>two<ul><li>in</li></ul></li><li>three</li></ol>", "1. one\n2. two\n- in\n3. three"),
+        ("Title\n=====\ntext", "# Title\ntext"), ("[[File:x.png|thumb|a caption]] and [[a|b]]", "a caption and b"), ("x {{a|{{b|c}}}} y", "x ((c)) y"), ("{{a {{b|c}} x", "{{a (c) x"),
+        ("a<ref name=x>note</ref> b<ref name=x/>", "a (note) b"), ("<nowiki>''as it is''</nowiki>", "''as it is''"), (r"\textbf{a \emph{b \textit{c}}} d", "a b c d"), (r"so \frac{a}{b} is", "so (a)/(b) is"),
+        (r"\href{http://x}{label} \cite[p.~1]{k} end", "label end"), (r"open \textbf{never", r"open \textbf{never"), ("* [[a]]\n\n# one\n# two", "- a\n1. one\n2. two"), ("__a__ **b** ***c*** ~~d~~ snake_case_name 2*3*4", "a b c d snake_case_name 2*3*4"),
+    ],
+)
+def test_conversions(raw, want):
+    assert clean(raw) == want
+
+
+def test_time_is_linear():
+    import time
+
+    for sign in ("''a ", "\\[\\begin{math}", "<pre>x ", "**a ", "~~a ", "{| x\n", "{{a|", "\\textbf{", "$a=", "<sup class='footnote-marker'>", "{{a}} {{"):
+        began = time.perf_counter()
+        blocks(sign * (1_000_000 // len(sign)), STOP)
+        assert time.perf_counter() - began < 20, sign
