@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ SHARD_TEXTS = 2000
 GAP = 0.25
 K1, B = 1.2, 0.75
 
-_PIECES = "shard int, doc_id long, piece int, start long, tokens int, whole boolean, terms array<int>, counts array<int>"
+_PIECES = "shard int, doc_id long, own long, piece int, start long, tokens int, whole boolean, terms array<int>, counts array<int>"
 _PACKED = "container string, doc_id long, piece int, start long, tokens int"
 
 
@@ -88,23 +89,23 @@ def _pieces(capacity: int, shards: int, tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             sizes, terms, counts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cuts = tokenizer.cuts(text, capacity)
+                cuts, own = tokenizer.cuts(text, capacity), xxhash.xxh3_64_intdigest(text) - (1 << 63)
                 for k, (a, b, tokens) in enumerate(cuts):
                     whole = k < len(cuts) - 1
                     bag = Counter() if whole else Counter(known[w] & 0x7FFFFFFF for w in text[a:b].lower().split())
                     sizes.append(len(bag))
                     terms += bag.keys()
                     counts += bag.values()
-                    for col, v in zip(out, ((known[f"{doc}/{k}"] >> 8) % shards, doc, k, a, tokens, whole), strict=True):
+                    for col, v in zip(out, ((known[str(doc)] >> 8) % shards, doc, own, k, a, tokens, whole), strict=True):
                         col.append(v)
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
             off = offsets_of(sizes)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, t) for c, t in zip(out, types, strict=True)), list_array(off, np.array(terms, dtype=np.int32)), list_array(off, np.array(counts, dtype=np.int32))],
-                ["shard", "doc_id", "piece", "start", "tokens", "whole", "terms", "counts"],
+                ["shard", "doc_id", "own", "piece", "start", "tokens", "whole", "terms", "counts"],
             )
 
     return run
@@ -179,9 +180,11 @@ def pack(sizes: np.ndarray, index: Index, capacity: int, gap: float = GAP) -> li
 def _pack_shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        doc, piece = table["doc_id"].to_numpy(), table["piece"].to_numpy()
-        _, first = np.unique(np.rec.fromarrays([doc, piece]), return_index=True)  # repeated rows once
-        table = table.take(pa.array(np.sort(first))).combine_chunks()
+        doc, own, piece = (table[c].to_numpy() for c in ("doc_id", "own", "piece"))
+        order = np.lexsort((piece, own, doc))
+        of = np.searchsorted(doc[order], doc[order])  # where a key begins: of several texts of a key one counts, whole
+        new = np.append(True, (np.diff(doc[order]) != 0) | (np.diff(piece[order]) != 0))  # repeated rows once
+        table = table.take(pa.array(order[new & (own[order] == own[order][of])])).combine_chunks()
         doc, piece, whole = table["doc_id"].to_numpy(), table["piece"].to_numpy(), table["whole"].to_numpy(zero_copy_only=False)
         names = np.array([f"d{d}.{p}" for d, p in zip(doc, piece, strict=True)], dtype=object)
         rest = np.flatnonzero(~whole)
@@ -201,9 +204,10 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokeniz
     """Every text in containers: (container, doc_id, piece, start, tokens); ``start`` is the piece's first character.
 
     A text within the capacity is one piece; a longer one is cut into full pieces and a rest. Null keys and texts are
-    left out; an empty text is a piece of no tokens; rows that repeat a key are one text. An empty table gives no row.
-    Other columns are not looked at. Shards are dealt by hash, so no source or text can overfill one.
+    left out; an empty text is a piece of no tokens; rows that repeat a key are one text (of different ones the one with the
+    least hash). An empty table gives no row. Other columns are not looked at. Shards are dealt by hash of the key, so no
+    source or text can overfill one; the pieces of a text share a shard.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    shards = max(1, -(-df.count() // shard_texts))
+    shards = max(1, -(-df.count() // shard_texts))  # counted by the file footers, no text is read
     return rows.mapInArrow(_pieces(capacity, shards, tokenizer or Bytes()), _PIECES).groupBy("shard").applyInArrow(_pack_shard(capacity), _PACKED)

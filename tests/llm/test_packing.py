@@ -54,3 +54,13 @@ def test_packing(spark):
     assert packed(df.limit(0), "doc_id", "text").count() == 0
     mixed = [len({x.doc_id % 6 for x in v if x.doc_id < 400}) / len(v) for v in boxes.values() if len(v) > 3]
     assert sum(mixed) / len(mixed) < 0.75  # neighbours share their topic far more often than by chance
+
+
+def test_a_key_with_two_texts_is_one_of_them(spark):
+    texts = {1: ["a" * 2500, "b" * 900], 2: ["c" * 1500, "d" * 2100]}
+    df = spark.createDataFrame([(k, t) for k, v in texts.items() for t in (*v, v[0])], "doc_id long, text string")
+    got = {}
+    for x in packed(df, "doc_id", "text", capacity=1000).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    for k, v in texts.items():
+        assert sum(x.tokens for x in got[k]) in map(len, v) and sorted(x.piece for x in got[k]) == list(range(len(got[k])))
