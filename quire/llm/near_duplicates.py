@@ -138,8 +138,8 @@ class NearDuplicates:
     first, whose similarity is at least the threshold. Texts never meet across values of ``part``.
 
     Null texts and texts under ``min_words`` words (empty ones too) belong to no class. Null keys are left out. Rows that
-    repeat a key and text count once; a key with several texts is a member of several classes. A null part is a part of
-    its own. Other columns of ``df`` are not looked at. An empty table gives two empty results.
+    repeat a key and text count once; a key with several texts is a member of several classes. A null part counts
+    as the empty one. Other columns of ``df`` are not looked at. An empty table gives two empty results.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, part: Column | None = None, min_words: int = MIN_WORDS):

@@ -186,3 +186,28 @@ SQL: dict[str, str] = {
                           generate_subscripts(list_concat([semantic_text], coalesce(semantic_notes, [])), 1) - 1 AS passage FROM semantic_recipe_v4)
         SELECT DISTINCT id, CAST(passage AS INTEGER) AS passage FROM p WHERE length(t) > 512""",
 }
+
+SQL["p8_clean"] = f"SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({SQL['p8_found']}))"
+# consecutive windows of twelve words on one diagonal are one passage
+SQL["p8_items"] = rf"""
+    WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format('lower(nfc_normalize(text))')} AS w FROM documents),
+    i AS (SELECT DISTINCT item_id, {_WORDS.format('lower(nfc_normalize(text))')} AS w FROM eval_item),
+    x AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d),
+    y AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS q FROM i),
+    m AS (SELECT DISTINCT doc_id, item_id, p, q FROM (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM x) JOIN (SELECT item_id, q, array_to_string(w[q:q + 11], ' ') AS g FROM y) USING (g)),
+    r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM m),
+    n AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, p - q, run)
+    SELECT item_id, count(DISTINCT doc_id) AS documents, max(words)::INTEGER AS longest FROM n GROUP BY item_id"""
+SQL["p6_spans"] = SQL["p6_found"][: SQL["p6_found"].index("SELECT id, CASE")].rstrip() + """,
+    b AS (SELECT *, sum(CASE WHEN b IS NULL OR p - b > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p) AS span FROM q),
+    z AS (SELECT id, n, min(p) - 1 AS first, max(p) + 59 AS last FROM b GROUP BY id, n, span)
+    SELECT id, first::INTEGER AS start, last::INTEGER AS "end", sum(last - first) OVER (PARTITION BY id) / n AS share FROM z"""
+SQL["p1_linked"] = rf"""
+    WITH pairs AS ({SQL['p1_found']}),
+    r AS (SELECT DISTINCT 'semantic_recipe_v4' AS tbl, id, semantic_text AS t FROM semantic_recipe_v4
+          UNION ALL SELECT DISTINCT 'expected_results', result_id, regexp_replace(regexp_replace(text, '(?i)</?font\b[^>]*>', '', 'g'), '(?i)<br\s*/?>', ' ', 'g') FROM expected_results),
+    w AS (SELECT tbl, id, list_sort({_WORDS.format('t')}) AS w FROM r),
+    c AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, w) AS class_id FROM w WHERE len(w) >= 12),
+    e AS (SELECT tbl, id_a AS id FROM pairs UNION ALL SELECT tbl, id_b FROM pairs),
+    n AS (SELECT tbl, id, count(*) AS links FROM e GROUP BY ALL)
+    SELECT tbl, id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN n USING (tbl, id)"""
