@@ -7,11 +7,15 @@ sorted by term: a search reads the row groups of its terms and no line; lines ar
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quire.functions import text as T
 from quire.session import small
@@ -48,19 +52,31 @@ def heading_level(raw: Column) -> Column:
     return F.regexp_extract(raw, r"^\s*<[hH]([1-6])[\s>]", 1).try_cast("int")
 
 
+#: Lines of a book that one task sorts; headings before them come from the aggregates of the stretches before.
+STRETCH = 1 << 16
+
+
 def with_sections(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``section_ordinal`` (the ordinal of the heading a line stands under, 0 before the first) and ``reference``
-    (the trail of headings above the line, outermost first). One shuffle by book.
+    (the trail of headings above the line, outermost first).
 
-    A heading replaces the entry of its level and ends those below it. A book that holds a third of all lines is one
-    sorted stream of its task: the running state is six short strings, nothing is collected.
+    A heading replaces the entry of its level and ends those below it. Books are dealt with in stretches of ordinals, so one
+    that holds a third of all lines is many tasks: each stretch's last heading of a level is aggregated, carried over to the
+    stretches behind it (a few rows a book), and joined to their lines. Null paths are one book, null ordinals come first.
     """
-    w = W.partitionBy("file_path").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     level, title = heading_level(F.col(raw)), T.collapse(T.strip_html(F.col(raw)))
     out = lines.withColumn("_level", level).withColumn("_title", F.when(F.col("_level").isNotNull(), title))
-    out = out.withColumn("section_ordinal", F.coalesce(F.max(F.when(F.col("_level").isNotNull(), F.col("ordinal"))).over(w), F.lit(0)))
-    at = [F.max(F.when(F.col("_level") == k, F.struct("ordinal", "_title"))).over(w).alias(f"_h{k}") for k in range(1, 7)]
-    out = out.select("*", *at)
+    out = out.withColumn("_b", F.floor(F.coalesce("ordinal", F.lit(-1)) / STRETCH))
+    last = lambda k: F.max(F.when(F.col("_level") == k, F.struct("ordinal", "_title")))
+    any_ = F.max(F.when(F.col("_level").isNotNull(), F.col("ordinal")))
+    before = W.partitionBy("file_path").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ends = out.groupBy("file_path", "_b").agg(*(last(k).alias(f"_c{k}") for k in range(1, 7)), any_.alias("_c0"))
+    carried = ends.select(F.col("file_path").alias("_path"), F.col("_b").alias("_stretch"), *(F.max(f"_c{k}").over(before).alias(f"_c{k}") for k in range(7)))
+    carried = carried.where("_c0 IS NOT NULL")
+    w = W.partitionBy("file_path", "_b").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    out = out.select("*", *(last(k).over(w).alias(f"_h{k}") for k in range(1, 7)), any_.over(w).alias("_h0"))
+    out = out.join(carried, F.col("file_path").eqNullSafe(F.col("_path")) & (F.col("_b") == F.col("_stretch")), "left")
+    out = out.select(*(c for c in out.columns if not c.startswith(("_h", "_c"))), *(F.coalesce(f"_h{k}", f"_c{k}").alias(f"_h{k}") for k in range(7)))
     trail = []
     for k in range(1, 7):
         entry = F.col(f"_h{k}")
@@ -68,7 +84,8 @@ def with_sections(lines: DataFrame, raw: str = "raw") -> DataFrame:
         for j in range(1, k):
             open_ = open_ & (F.col(f"_h{j}").isNull() | (F.col(f"_h{j}.ordinal") < entry["ordinal"]))
         trail.append(F.when(open_, entry["_title"]))
-    return out.withColumn("reference", F.concat_ws(", ", *trail)).drop("_level", "_title", *(f"_h{k}" for k in range(1, 7)))
+    out = out.withColumn("section_ordinal", F.coalesce("_h0", F.lit(0))).withColumn("reference", F.concat_ws(", ", *trail))
+    return out.drop("_level", "_title", "_b", "_path", "_stretch", *(f"_h{k}" for k in range(7)))
 
 
 def facets_of(topics: Column, extra: Column) -> Column:
@@ -102,10 +119,53 @@ TERM = "term string, bare string, df bigint"
 POSTING = "id bigint, term string, p int, dl int, first int, last int, section_id bigint"
 
 
+#: Places from here on are those of a scanned page without the enumerators at its inner line breaks.
+LAYOUT = 1 << 28
+
+
+_MARKS = rf"(?:\s*{T._MARKER}[\s.:,;]*)+(?=\n)|(?<=\n)\s*(?:{T._MARKER}\s*)+"
+
+
+def layout_of(plain: str, tokens: Sequence[str], pos: Sequence[int]) -> list[tuple[str, int]]:
+    """The tokens of a page as they follow each other when the enumerators at its inner line breaks don't count, with places
+    behind LAYOUT; none for pages without such enumerators, or with tokens that can't be told apart by place.
+
+    A phrase then holds if its words follow each other as they stand, or as they stand here; the two kinds of places are too
+    far apart to mix. An enumerator is at the place of the word before it and of the one behind it, so it can be looked for.
+    """
+    text = plain.translate(T._QUOTES)
+    spans = [m.span() for m in re.finditer(_MARKS, text)]
+    if not spans:
+        return []
+    starts, at, skipped, marked = [m.start() for m in T._PY_TOKEN.finditer(text)], 0, [0], []
+    for x in starts:
+        while at < len(spans) and spans[at][1] <= x:
+            at += 1
+        marked.append(at < len(spans) and spans[at][0] <= x)
+        skipped.append(skipped[-1] + marked[-1])
+    if len(set(pos)) != len(pos) or (len(pos) and max(pos) >= len(starts)):
+        return []
+    out = []
+    for t, p in zip(tokens, pos):
+        place = int(p) - skipped[p] + LAYOUT
+        out += [(t, place - 1), (t, place)] if marked[p] else [(t, place)]
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("t", StringType()), StructField("p", IntegerType())])))
+def layout_places(plain: pd.Series, tokens: pd.Series, pos: pd.Series) -> pd.Series:
+    """layout_of of pages."""
+    return pd.Series([[{"t": t, "p": p} for t, p in layout_of(*x)] for x in zip(plain, tokens, pos, strict=True)], dtype=object)
+
+
 def postings_of(lines: DataFrame) -> DataFrame:
-    """(POSTING): one row for each place of a term, with what a search needs to know of its line. No shuffle."""
-    each = F.explode(F.arrays_zip(F.col("tokens").alias("t"), F.col("pos").alias("p"))).alias("x")
-    rows = lines.select("id", "first", "last", "section_id", F.size("tokens").alias("dl"), each)
+    """(POSTING): one row for each place of a term, with what a search needs to know of its line. No shuffle. Scanned pages
+    with enumerators at inner line breaks give their places without these besides; only they reach Python."""
+    known = ["id", "first", "last", "section_id", F.size("tokens").alias("dl")]
+    rows = lines.select(*known, F.explode(F.arrays_zip(F.col("tokens").alias("t"), F.col("pos").alias("p"))).alias("x"))
+    if {"is_pdf", "plain"} <= set(lines.columns):
+        pages = lines.where("is_pdf").where(F.col("plain").rlike(r"[)\]}][\s.:,;]*\n|\n\s*[(\[{]"))
+        rows = rows.unionByName(pages.select(*known, F.explode(layout_places("plain", "tokens", "pos")).alias("x")))
     return rows.select("id", F.col("x.t").alias("term"), F.col("x.p").alias("p"), "dl", "first", "last", "section_id")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType
 
 from quire.functions import text as T
 from quire.functions.words import EXACT, MAX_TERMS_PHRASE, OTHER, WordPlan, any_order_span, plan_word
-from quire.operators.corpus import Corpus, book_number
+from quire.operators.corpus import LAYOUT, Corpus, book_number
 from quire.operators.expand import Expansion, expand
 from quire.session import cut
 
@@ -300,7 +300,8 @@ def idf(n: int, df: int) -> float:
 def bm25(found: list[Expansion], n: int, mean: float) -> Column:
     """BM25 over the words; a word's frequency in a line is the number of its places there."""
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
-    parts = [F.lit(idf(n, min(e.df, n))) * F.size(f"w{i}") * F.lit(K1 + 1) / (F.size(f"w{i}") + norm) for i, e in enumerate(found)]
+    tf = [F.size(F.filter(f"w{i}", lambda p: p < LAYOUT)) for i in range(len(found))]
+    parts = [F.lit(idf(n, min(e.df, n))) * tf[i] * F.lit(K1 + 1) / (tf[i] + norm) for i, e in enumerate(found)]
     return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
 
 

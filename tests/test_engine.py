@@ -237,6 +237,11 @@ def test_pdf(spark, tmp_path):
     e.commit()
     assert [(r.segment, r.is_pdf, r.reference) for r in e.search_exact("בראשית ברא").rows.collect()] == [(1, True, "p. 2")]
     assert e.store.lines().where("segment = 0").first().plain == "שורה אחת של טקסט"
+    e.add_pdf_book("u", "/a", "g", [("p. 1", "דבר אחד נאמר כאן (ג)\n(ד) ועוד דבר שני\nוסוף דבר (ה)", 0)])
+    e.commit()
+    n = lambda q, **a: e.count("advanced", q, **a)
+    assert n("כאן ועוד") == 1 and n("נאמר ועוד") == 0 and n("נאמר ועוד", distance=1) == 1 and n("כאן ג") == 1 and n("ד ועוד") == 1 and n("כאן ג ד ועוד") == 1
+    assert n("שני וסוף") == 1 and n("דבר ה") == 1 and n("ועוד כאן", any_order=True) == 1
     data = "אב\nגד".encode()
     with pytest.raises(ValueError):
         e.add_pdf_book_bytes("t", "/a", "g", data, [0, 99], ["a", "b"])

@@ -108,3 +108,15 @@ def test_stream_ingest(spark, tmp_path):
     make("q", "שלש")
     ingest(spark, src, books.BOOK, store, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.plain for r in store.lines().collect()) == sorted(["אחת", "שתים", "שלש"])
+
+
+def test_sections_over_stretches(spark, monkeypatch):
+    from quire.operators import corpus
+
+    monkeypatch.setattr(corpus, "STRETCH", 3)
+    raws = ["x", "<h1>A</h1>", "a", "<h2>B</h2>", "b", "c", "d", "e", "f", "g", "<h1>C</h1>", "h", "i", "<h3>D</h3>", "j"]
+    df = spark.createDataFrame([(p, i, r) for p in ("p", None) for i, r in enumerate(raws)] + [("q", 0, None), ("q", 7, "late")], "file_path string, ordinal int, raw string")
+    got = {(r.file_path, r.ordinal): (r.section_ordinal, r.reference) for r in corpus.with_sections(df).collect()}
+    for p in ("p", None):
+        assert [got[p, i] for i in range(15)] == [(0, ""), (1, "A"), (1, "A"), *[(3, "A, B")] * 7, (10, "C"), (10, "C"), (10, "C"), (13, "C, D"), (13, "C, D")]
+    assert got["q", 0] == got["q", 7] == (0, "") and len(got) == 32
