@@ -214,9 +214,11 @@ class Corpus:
             mine = mine.withColumn("book_no", book_number(F.col("id")))
         return mine.join(self.books, "book_no", "left")
 
-    def write(self, path: str) -> None:
-        """Store the lines by id, their postings by term, the counted terms, and the books."""
-        self.lines.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/lines")
+    def write(self, path: str, ranged: bool = False) -> None:
+        """Store the lines by id, their postings by term, the counted terms, and the books. Lines that are ``ranged`` by id
+        already are not dealt out again, which would make them twice."""
+        rows = self.lines if ranged else self.lines.repartitionByRange("id")
+        rows.sortWithinPartitions("id").write.parquet(f"{path}/lines")
         lines = self.spark.read.parquet(f"{path}/lines")
         clustered(postings_of(lines)).write.parquet(f"{path}/postings")
         counts_of(lines).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")

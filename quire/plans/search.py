@@ -64,7 +64,7 @@ def _stored(spark: SparkSession, key: tuple, name: str, make: Callable[[], Corpu
     key = (spark.sparkContext.applicationId, name, *key)
     if key not in _OPEN:
         path = scratch_dir(spark, name)
-        make().write(path)
+        make().write(path, ranged=True)
         _OPEN[key] = Corpus.read(spark, path)
     return _OPEN[key]
 
@@ -73,7 +73,7 @@ def corpus(spark: SparkSession, d: str) -> Corpus:
     """The index of the lines: lines with tokens, postings, dictionary, and books with their facets and orders."""
 
     def make() -> Corpus:
-        rows = line_rows(spark, d)
+        rows = line_rows(spark, d).repartitionByRange("id")
         c = build(rows)
         kept = c.lines.select("id", "file_path", "book_no", "ordinal", "section_id", "plain", "tokens", "pos", "first", "last", F.size("tokens").alias("dl"), line_hash(F.col("plain")).alias("line_hash"))
         per = rows.select(F.shiftright("id", 32).alias("book_no"), "file_path").distinct().join(small(book_facets(spark, d)), "file_path", "left").withColumn("facets", F.coalesce("facets", F.array().cast("array<string>")))
@@ -86,7 +86,7 @@ def document_corpus(spark: SparkSession, d: str) -> Corpus:
     """The index of the documents, each as one line of a book of its own."""
 
     def make() -> Corpus:
-        rows = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+        rows = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text")).repartitionByRange("doc_id")
         c = build(rows.select(F.col("doc_id").alias("id"), T.collapse(F.coalesce("text", F.lit(""))).alias("plain")))
         return Corpus(c.lines.select("id", "file_path", "section_id", "plain", "tokens", "pos", "first", "last", F.size("tokens").alias("dl")))
 
@@ -574,6 +574,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 _DOC = BASE[: BASE.index("l AS (")] + f"""
 l AS (SELECT doc_id AS id, {BASE[BASE.index("trim("):BASE.index("FROM semantic_recipe_v4")].replace("semantic_text", "text")}, NULL AS file_path, NULL AS section FROM documents GROUP BY doc_id),
 """ + BASE[BASE.index("t AS (") :]
+add("document_index_build", lambda s, d: document_corpus(s, d).lines.agg(F.count("*").alias("lines"), F.sum("dl").alias("tokens")), "WITH " + _DOC.strip() + "x AS (SELECT 1) SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM p)::BIGINT AS tokens")
 add("hybrid_rrf", hybrid, "WITH " + _DOC.strip() + f"{w('a', B)}, {', '.join(_BM)}, {_QV}, s AS (SELECT vec_id, {_COS} AS x FROM embeddings e, q), k AS (SELECT vec_id AS id, round(x, 6) AS score FROM s ORDER BY x DESC, vec_id LIMIT 20), sr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM k), ls AS (SELECT id, round({_BM_SCORE}, 6) AS score FROM wa JOIN len USING (id), st, da), lr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ls QUALIFY r <= 20) SELECT coalesce(sr.id, lr.id) AS id, round(coalesce(1.0::DOUBLE / (60 + lr.r), 0) + coalesce(1.0::DOUBLE / (60 + sr.r), 0), 8) AS score, CASE WHEN sr.id IS NULL THEN 'lexical' WHEN lr.id IS NULL THEN 'semantic' ELSE 'both' END AS source FROM sr FULL JOIN lr ON sr.id = lr.id")
 
 
