@@ -574,7 +574,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
 _DOC = BASE[: BASE.index("l AS (")] + f"""
 l AS (SELECT doc_id AS id, {BASE[BASE.index("trim("):BASE.index("FROM semantic_recipe_v4")].replace("semantic_text", "text")}, NULL AS file_path, NULL AS section FROM documents GROUP BY doc_id),
 """ + BASE[BASE.index("t AS (") :]
-add("document_index_build", lambda s, d: document_corpus(s, d).lines.agg(F.count("*").alias("lines"), F.sum("dl").alias("tokens")), "WITH " + _DOC.strip() + "x AS (SELECT 1) SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM p)::BIGINT AS tokens")
+add("document_index_build", lambda s, d: document_corpus(s, d).lines.agg(F.count("*").alias("lines"), F.sum(F.length("plain")).alias("characters")), "WITH " + _DOC.strip() + "x AS (SELECT 1) SELECT count(*) AS lines, sum(length(plain))::BIGINT AS characters FROM l")
 add("hybrid_rrf", hybrid, "WITH " + _DOC.strip() + f"{w('a', B)}, {', '.join(_BM)}, {_QV}, s AS (SELECT vec_id, {_COS} AS x FROM embeddings e, q), k AS (SELECT vec_id AS id, round(x, 6) AS score FROM s ORDER BY x DESC, vec_id LIMIT 20), sr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM k), ls AS (SELECT id, round({_BM_SCORE}, 6) AS score FROM wa JOIN len USING (id), st, da), lr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ls QUALIFY r <= 20) SELECT coalesce(sr.id, lr.id) AS id, round(coalesce(1.0::DOUBLE / (60 + lr.r), 0) + coalesce(1.0::DOUBLE / (60 + sr.r), 0), 8) AS score, CASE WHEN sr.id IS NULL THEN 'lexical' WHEN lr.id IS NULL THEN 'semantic' ELSE 'both' END AS source FROM sr FULL JOIN lr ON sr.id = lr.id")
 
 
